@@ -44,11 +44,11 @@ def doc_freq_idf(tf: DataFrame, corpus: DataFrame) -> DataFrame:
     """``style, term, freq, df, idf`` with idf = ln((1+N)/(1+df)) + 1; N counts every row."""
     sizes = corpus.groupBy("style").agg(F.count(F.lit(1)).alias("n_docs"))
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    return (
-        tf.groupBy("style", "term")
-        .agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df"))
-        .join(sizes, "style")
-        .select("style", "term", "freq", "df", idf.alias("idf"))
+    counts = tf.groupBy("style", "term").agg(
+        F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")
+    )
+    return scale.small_join(counts, sizes, ["style"]).select(
+        "style", "term", "freq", "df", idf.alias("idf")
     )
 
 
@@ -69,11 +69,9 @@ def tfidf_weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
 def mean_tfidf(weights: DataFrame, corpus: DataFrame) -> DataFrame:
     """Mean weight over all rows of the style, rows without the term counting as zero."""
     sizes = corpus.groupBy("style").agg(F.count(F.lit(1)).alias("n_docs"))
-    return (
-        weights.groupBy("style", "term")
-        .agg(F.sum("weight").alias("total"))
-        .join(sizes, "style")
-        .select("style", "term", (F.col("total") / F.col("n_docs")).alias("mean_tfidf"))
+    totals = weights.groupBy("style", "term").agg(F.sum("weight").alias("total"))
+    return scale.small_join(totals, sizes, ["style"]).select(
+        "style", "term", (F.col("total") / F.col("n_docs")).alias("mean_tfidf")
     )
 
 
@@ -131,13 +129,15 @@ def relative_ratio(report: DataFrame) -> DataFrame:
 def tag_probability(ratios: DataFrame) -> DataFrame:
     """p = (ratio / sum of ratios)^0.75, scaled to sum 1 per direction.
 
-    The inner sum cancels out, so one pass of two-row totals is enough.
+    The inner sum cancels out, so one total per direction is enough.
     """
     powered = F.pow(F.col("ratio"), F.lit(0.75))
     totals = ratios.groupBy("main_style").agg(F.sum(powered).alias("_total"))
-    return ratios.join(F.broadcast(totals), "main_style").withColumn(
-        "prob", powered / F.col("_total")
-    ).drop("_total")
+    return (
+        scale.small_join(ratios, totals, ["main_style"])
+        .withColumn("prob", powered / F.col("_total"))
+        .drop("_total")
+    )
 
 
 def pct_rank_average(rows: DataFrame, group: str, value: str, tiebreak: str) -> DataFrame:
@@ -152,9 +152,9 @@ def pct_rank_average(rows: DataFrame, group: str, value: str, tiebreak: str) ->
         ((F.min("_at") + F.max("_at")) / 2).alias("_mid"), F.count(F.lit(1)).alias("_n")
     )
     sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    ranked = scale.lookup_join(placed, ties, [group, value], weight="_n")
     return (
-        scale.lookup_join(placed, ties, [group, value], weight="_n")
-        .join(F.broadcast(sizes), group)
+        scale.small_join(ranked, sizes, [group])
         .withColumn("rank", F.col("_mid") / F.col("_size"))
         .drop("_at", "_mid", "_size")
     )

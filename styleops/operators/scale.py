@@ -60,6 +60,12 @@ def ordered_index(
     return placed.join(small, match).select(*df.columns, number.alias(name))
 
 
+def small_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table that is expected to be small: broadcast only after counting its rows."""
+    table = checkpointed(table)
+    return rows.join(F.broadcast(table) if bounded(table) else table, list(on), how)
+
+
 def lookup_join(
     rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, how: str = "inner"
 ) -> DataFrame:
