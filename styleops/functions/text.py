@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +13,14 @@ WHITESPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+WHITESPACE_ASCII = r"[\t-\r\x1c-\x20]"
+WHITESPACE_WIDE = (
+    "\x85\xa0            "
+    "    　"
+)
+WHITESPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " + WHITESPACE_WIDE
 WORD = r"[\p{L}\p{N}_]{2,}"
+WORD_ASCII = r"[a-z0-9_]{2,}"
 REF_DELIMITER = "||<|>||"
 
 # The published mteval-13a rules, applied in this order.
@@ -28,12 +38,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def is_ascii(txt: Column) -> Column:
+    return F.length(txt) == F.octet_length(txt)
+
+
 def strip(txt: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(txt, rf"\A{WHITESPACE}+", ""), rf"{WHITESPACE}+\z", "")
+    return F.btrim(txt, F.lit(WHITESPACE_CHARS))
 
 
 def rstrip(txt: Column) -> Column:
-    return F.regexp_replace(txt, rf"{WHITESPACE}+\z", "")
+    return F.rtrim(txt, F.lit(WHITESPACE_CHARS))
+
+
+def is_blank(txt: Column) -> Column:
+    return strip(txt) == ""
 
 
 def clean_sentence(txt: Column) -> Column:
@@ -41,8 +59,15 @@ def clean_sentence(txt: Column) -> Column:
 
 
 def ws_tokens(txt: Column) -> Column:
-    """Split on runs of white space, no empty tokens."""
-    return F.filter(F.split(txt, WHITESPACE + "+"), lambda t: t != "")
+    """Split on runs of white space, no empty tokens.
+
+    The class of all Unicode spaces is slow to match, so it is used only where one occurs.
+    """
+    wide = ~is_ascii(txt) & reduce(or_, [F.contains(txt, F.lit(c)) for c in WHITESPACE_WIDE])
+    pieces = F.when(wide, F.split(txt, WHITESPACE + "+")).otherwise(
+        F.split(txt, WHITESPACE_ASCII + "+")
+    )
+    return F.array_remove(pieces, "")
 
 
 def space_tokens(txt: Column) -> Column:
@@ -52,7 +77,10 @@ def space_tokens(txt: Column) -> Column:
 
 def word_tokens(txt: Column) -> Column:
     """Lower-cased runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(txt), F.lit(WORD), F.lit(0))
+    low = F.lower(txt)
+    return F.when(
+        is_ascii(txt), F.regexp_extract_all(low, F.lit(WORD_ASCII), F.lit(0))
+    ).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
 
 
 def windows(tokens: Column, n: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from styleops.functions import text
 from styleops.operators import scale
 from styleops.operators.corpus import lexicon_input
+from styleops.operators.ngrams import explode_ngrams
 from styleops.session import checkpointed
 
 RATIO_DIGITS = 9
@@ -21,21 +22,18 @@ def term_frequencies(corpus: DataFrame, low: int = 1, high: int = 2) -> DataFram
     The text is spread by row before it is exploded, so counting inside a row needs no second
     shuffle and the (much wider) n-gram rows stay where they are made.
     """
-    grams = text.ngrams_range(text.word_tokens(F.col("txt")), low, high)
+    rows = corpus.select("style", "row_id", "txt").repartition("row_id")
     return (
-        corpus.select("style", "row_id", "txt")
-        .repartition("row_id")
-        .select("style", "row_id", F.explode(grams).alias("term"))
-        .groupBy("row_id", "style", "term")
+        explode_ngrams(rows, ["style", "row_id"], text.word_tokens(F.col("txt")), low, high)
+        .groupBy("row_id", "style", F.col("gram").alias("term"))
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
 def ngram_counts(corpus: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
-    grams = text.ngrams_range(text.word_tokens(F.col("txt")), low, high)
     return (
-        corpus.select("style", F.explode(grams).alias("term"))
-        .groupBy("style", "term")
+        explode_ngrams(corpus, ["style"], text.word_tokens(F.col("txt")), low, high)
+        .groupBy("style", F.col("gram").alias("term"))
         .agg(F.count(F.lit(1)).alias("freq"))
     )
 
@@ -53,34 +51,53 @@ def doc_freq_idf(tf: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def tfidf_weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """``style, row_id, term, weight``: tf*idf, scaled to unit length in each row."""
-    weighted = scale.lookup_join(
-        tf, idf.select("style", "term", "idf", "df"), ["style", "term"], weight="df"
-    ).select("style", "row_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    per_row = weighted.groupBy("style", "row_id").agg(
-        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
-        F.collect_list(F.struct("term", "raw")).alias("terms"),
+    """``style, row_id, term, tf, idf, weight``: tf*idf, scaled to unit length in each row.
+
+    ``idf`` should be written already. Terms of one row only, most of any vocabulary, all have the
+    same idf, so only the others have to be looked up.
+    """
+    single = idf.filter("df = 1").groupBy("style").agg(F.max("idf").alias("single_idf"))
+    common = idf.filter("df > 1").select("style", "term", "idf", "df")
+    found = scale.lookup_join(tf, common, ["style", "term"], weight="df", how="left")
+    known = scale.small_join(found, single, ["style"], "left").withColumn(
+        "idf", F.coalesce("idf", "single_idf")
+    )
+    raw = F.col("tf") * F.col("idf")
+    per_row = known.groupBy("row_id", "style").agg(
+        F.sqrt(F.sum(raw * raw)).alias("norm"),
+        F.collect_list(F.struct("term", "tf", "idf")).alias("terms"),
     )
     return per_row.select("style", "row_id", "norm", F.explode("terms").alias("t")).select(
-        "style", "row_id", "t.term", (F.col("t.raw") / F.col("norm")).alias("weight")
+        "style",
+        "row_id",
+        "t.term",
+        "t.tf",
+        "t.idf",
+        (F.col("t.tf") * F.col("t.idf") / F.col("norm")).alias("weight"),
     )
 
 
 def mean_tfidf(weights: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Mean weight over all rows of the style, rows without the term counting as zero."""
+    """``style, term, freq, df, idf, mean_tfidf``.
+
+    The mean is over all rows of the style; rows without the term count as zero.
+    """
     sizes = corpus.groupBy("style").agg(F.count(F.lit(1)).alias("n_docs"))
-    totals = weights.groupBy("style", "term").agg(F.sum("weight").alias("total"))
-    return scale.small_join(totals, sizes, ["style"]).select(
-        "style", "term", (F.col("total") / F.col("n_docs")).alias("mean_tfidf")
+    totals = weights.groupBy("style", "term").agg(
+        F.sum("tf").alias("freq"),
+        F.count(F.lit(1)).alias("df"),
+        F.max("idf").alias("idf"),
+        F.sum("weight").alias("total"),
     )
+    mean = (F.col("total") / F.col("n_docs")).alias("mean_tfidf")
+    return scale.small_join(totals, sizes, ["style"]).select("style", "term", "freq", "df", "idf", mean)
 
 
 def style_stats(corpus: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
-    """``style, term, freq, df, idf, mean_tfidf``."""
+    """Term statistics of each style of the corpus, as in ``mean_tfidf``."""
     tf = term_frequencies(corpus, low, high)
     idf = checkpointed(doc_freq_idf(tf, corpus))
-    means = mean_tfidf(tfidf_weights(tf, idf), corpus)
-    return idf.join(means, ["style", "term"])
+    return mean_tfidf(tfidf_weights(tf, idf), corpus)
 
 
 def class_report(stats: DataFrame, styles: tuple[str, str], min_freq: int = 2) -> DataFrame:
@@ -148,8 +165,10 @@ def pct_rank_average(rows: DataFrame, group: str, value: str, tiebreak: str) ->
     placed = checkpointed(
         scale.ordered_index(rows, [F.col(value), F.col(tiebreak)], "_at", [group], start=1)
     )
-    ties = placed.groupBy(group, value).agg(
-        ((F.min("_at") + F.max("_at")) / 2).alias("_mid"), F.count(F.lit(1)).alias("_n")
+    ties = checkpointed(
+        placed.groupBy(group, value).agg(
+            ((F.min("_at") + F.max("_at")) / 2).alias("_mid"), F.count(F.lit(1)).alias("_n")
+        )
     )
     sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     ranked = scale.lookup_join(placed, ties, [group, value], weight="_n")

@@ -71,12 +71,13 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` to a keyed ``table`` whose ``weight`` tells how often each key occurs in rows.
 
+    ``table`` should be written already (checkpoint or table), because it is read more than once.
+
     A table of at most ``BROADCAST_ROWS`` rows is broadcast. Otherwise keys with at least one part in
     ``HEAVY_KEYS`` of the total weight - no more than ``HEAVY_KEYS`` of them can exist - are
     broadcast, and only the light keys go through a shuffle join, where none can dominate.
     """
     on = list(on)
-    table = checkpointed(table)
     if bounded(table):
         return rows.join(F.broadcast(table.drop(weight)), on, how)
     total = table.agg(F.sum(weight)).first()[0]

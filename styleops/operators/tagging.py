@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from styleops.functions import text
 from styleops.functions.draws import hash_uniform
 from styleops.operators import scale
+from styleops.operators.ngrams import WINDOW, explode_windows
 from styleops.session import checkpointed
 
 MAX_N = 4
@@ -30,21 +31,14 @@ def tag(label: Column | str, i: Column, pos_weight: int = POS_WEIGHT, max_pos: i
 
 def phrase_candidates(corpus: DataFrame, max_n: int = MAX_N) -> DataFrame:
     """``style, row_id, i, k, phrase``; windows are cut short at the end of the sentence."""
-    widths = F.array(*[F.lit(k) for k in range(max_n, 0, -1)])
-    words = corpus.select("style", "row_id", text.ws_tokens(text.clean_sentence(F.col("txt"))).alias("toks"))
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("toks") - 1),
-        lambda i: F.transform(
-            widths,
-            lambda k: F.struct(
-                i.alias("i"), k.alias("k"), F.array_join(F.slice("toks", i + 1, k), " ").alias("phrase")
-            ),
-        ),
-    )
-    return (
-        words.filter(F.size("toks") > 0)
-        .select("style", "row_id", F.explode(F.flatten(each)).alias("c"))
-        .select("style", "row_id", "c.i", "c.k", "c.phrase")
+    toks = text.ws_tokens(text.clean_sentence(F.col("txt")))
+    at = explode_windows(corpus, ["style", "row_id"], toks, max_n)
+    sized = [
+        F.struct(F.lit(k).alias("k"), F.concat_ws(" ", *WINDOW[:k]).alias("phrase"))
+        for k in range(1, max_n + 1)
+    ]
+    return at.select("style", "row_id", "i", F.explode(F.array(*sized)).alias("c")).select(
+        "style", "row_id", "i", "c.k", "c.phrase"
     )
 
 
@@ -65,7 +59,8 @@ def phrase_hits(corpus: DataFrame, lexicon: DataFrame, seed: int = 0, max_n: int
         copies = phrases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = found.withColumn("salt", salt).join(copies, ["style", "phrase", "salt"])
     drawn = hash_uniform(F.col("row_id"), F.col("i"), F.col("k"), seed) < F.col("score")
-    return joined.filter(drawn).groupBy("style", "row_id", "i").agg(F.max("k").alias("k"))
+    kept = joined.filter(drawn).select("style", "row_id", "i", "k").repartition("row_id")
+    return kept.groupBy("style", "row_id", "i").agg(F.max("k").alias("k"))
 
 
 def tagged_text(
@@ -112,8 +107,20 @@ def tagged_text(
     return F.when(F.size(toks) == 0, F.lit("")).otherwise(text.let(picked, assemble))
 
 
-def inline_hits(toks: Column, row_id: Column, style: Column, lookup: Column, buckets: int, seed: int, max_n: int) -> Column:
-    """Hits of one row from a lexicon held as a literal hash table; no join and no shuffle."""
+def inline_hits(
+    toks: Column,
+    row_id: Column,
+    style: Column,
+    lookup: Column,
+    buckets: int,
+    longest: int,
+    seed: int,
+    max_n: int,
+) -> Column:
+    """Hits of one row from a lexicon held as a literal hash table; no join and no shuffle.
+
+    A window wider than the longest phrase can only match where the sentence end cuts it short.
+    """
 
     def widest(i: Column) -> Column:
         found = F.lit(0)
@@ -126,6 +133,8 @@ def inline_hits(toks: Column, row_id: Column, style: Column, lookup: Column, buc
             drawn = text.let(
                 score, lambda s: F.when(s.isNotNull(), hash_uniform(row_id, i, F.lit(k), seed) < s)
             )
+            if k > longest:
+                drawn = (F.size(toks) - i <= longest) & drawn
             found = F.when(drawn, F.lit(k)).otherwise(found)
         return found
 
@@ -138,7 +147,7 @@ def inline_hits(toks: Column, row_id: Column, style: Column, lookup: Column, buc
     ).otherwise(F.array().cast("array<struct<i:int,k:int>>"))
 
 
-def lexicon_literal(lexicon: DataFrame) -> tuple[Column, int]:
+def lexicon_literal(lexicon: DataFrame) -> tuple[Column, int, int]:
     """A lexicon of checked size as a constant: an array of small maps, addressed by hash."""
     phrases = lexicon.select(F.concat_ws(" ", "main_style", "term").alias("p"), "score")
     rows = phrases.limit(INLINE_PHRASES + 1).collect()
@@ -152,13 +161,13 @@ def lexicon_literal(lexicon: DataFrame) -> tuple[Column, int]:
     for r in placed.collect():
         table[r["b"]][r["p"]] = r["score"]
     literal = F.from_json(F.lit(json.dumps(table)), "array<map<string,double>>")
-    return literal, buckets
+    longest = max((len(r["p"].split(" ")) - 1 for r in rows), default=1)
+    return literal, buckets, longest
 
 
 def tag_inline(
     corpus: DataFrame,
-    literal: Column,
-    buckets: int,
+    table: tuple[Column, int, int],
     seed: int = 0,
     concat: bool = True,
     max_n: int = MAX_N,
@@ -169,7 +178,7 @@ def tag_inline(
     orig = text.clean_sentence(F.col("txt"))
 
     def body(toks: Column) -> Column:
-        hits = inline_hits(toks, F.col("row_id"), F.col("style"), literal, buckets, seed, max_n)
+        hits = inline_hits(toks, F.col("row_id"), F.col("style"), *table, seed, max_n)
         return tagged_text(toks, hits, F.col("style"), concat, pos_weight, max_pos)
 
     return corpus.filter(F.col("txt").isNotNull()).select(
@@ -191,15 +200,17 @@ def tag_by_join(
     max_pos: int = MAX_POS,
 ) -> DataFrame:
     """Tag through a distributed lookup, for a lexicon too large to hold in every task."""
+    # candidates meet the lexicon where the text is read; only the drawn hits and, unless the
+    # hits turn out small enough to broadcast, the text are shuffled, once each
     rows = corpus.filter(F.col("txt").isNotNull())
     hits = (
         phrase_hits(rows, lexicon, seed, max_n)
-        .groupBy("style", "row_id")
+        .groupBy("row_id")
         .agg(F.sort_array(F.collect_list(F.struct("i", "k"))).alias("hits"))
     )
     none = F.array().cast("array<struct<i:int,k:int>>")
     orig = text.clean_sentence(F.col("txt"))
-    joined = rows.join(hits, ["style", "row_id"], "left")
+    joined = rows.join(hits, ["row_id"], "left")
     return joined.select(
         "row_id",
         "style",
@@ -216,11 +227,7 @@ def tag_by_join(
 
 def tag_sentences(corpus: DataFrame, lexicon: DataFrame, seed: int = 0, **options) -> DataFrame:
     """``row_id, style, split, orig, tagged``; each row is tagged with its own style's phrases."""
-    lexicon = checkpointed(lexicon)
-    if scale.bounded(lexicon, INLINE_PHRASES):
-        literal, buckets = lexicon_literal(lexicon)
-        return tag_inline(corpus, literal, buckets, seed, **options)
-    return tag_by_join(corpus, lexicon, seed, **options)
+    return tag_by_join(corpus, checkpointed(lexicon), seed, **options)
 
 
 def tag_stats(tagged: DataFrame) -> DataFrame:

@@ -157,14 +157,15 @@ def doc_freq_idf(spark, sf):
 @register("tfidf_weights", "SELECT style, row_id, term, round(weight, 6) AS weight FROM v_weights")
 def tfidf_weights(spark, sf):
     _, tf, idf = _tf_idf(spark, sf)
-    return L.tfidf_weights(tf, idf).withColumn("weight", F.round("weight", 6))
+    weights = L.tfidf_weights(tf, idf)
+    return weights.select("style", "row_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @register("mean_tfidf", "SELECT style, term, round(mean_tfidf, 9) AS mean_tfidf FROM v_means")
 def mean_tfidf(spark, sf):
     used, tf, idf = _tf_idf(spark, sf)
     means = L.mean_tfidf(L.tfidf_weights(tf, idf), used)
-    return means.withColumn("mean_tfidf", F.round("mean_tfidf", 9))
+    return means.select("style", "term", F.round("mean_tfidf", 9).alias("mean_tfidf"))
 
 
 def _report(spark, sf):

@@ -32,7 +32,7 @@ def _lines(rows: DataFrame, key, width: int) -> DataFrame:
     """One row for each line that is not blank; the key leaves room for the line number."""
     return (
         rows.select("*", F.posexplode(F.split("text", "\n", -1)).alias("line", "txt"))
-        .filter(text.strip(F.col("txt")) != "")
+        .filter(~text.is_blank(F.col("txt")))
         .withColumn("row_id", key * width + F.col("line"))
     )
 
