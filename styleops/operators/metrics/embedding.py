@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from styleops.operators import scale
 from styleops.operators.metrics.counts import HYP, by_pair, metric_ngrams
@@ -63,7 +64,7 @@ def greedy(hc: np.ndarray, h: np.ndarray, rc: np.ndarray, r: np.ndarray) -> floa
 
 
 def _scorer(measure):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(hc: pd.Series, hv: pd.Series, rc: pd.Series, rv: pd.Series) -> pd.Series:
         out = []
         for a, x, b, y in zip(hc, hv, rc, rv):
