@@ -77,8 +77,9 @@ def _scorer(measure):
     return score
 
 
+# Metric names as users of the published scorer know them, spelling included.
 MEASURES = {
-    "EmbeddingAverageCosineSimilarity": lambda a, x, b, y: cosine(a @ x, b @ y),
+    "EmbeddingAverageCosineSimilairty": lambda a, x, b, y: cosine(a @ x, b @ y),
     "VectorExtremaCosineSimilarity": lambda a, x, b, y: cosine(extrema(x), extrema(y)),
     "GreedyMatchingScore": greedy,
 }
