@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from styleops.functions import text
+from styleops.functions.draws import hash_uniform
+from styleops.operators.corpus import keep_tagged
 from styleops.operators.lexicon import build_lexicon
+from styleops.operators.ngrams import explode_windows
+from styleops.operators.parallel import tagger_pairs_bimodal
+from styleops.operators.scale import lookup_join, ordered_index
 from styleops.operators.tagging import tag_sentences
+from styleops.operators.vocab import build_vocab, encode_pairs, word_freq
 from styleops.session import checkpointed
 
 STYLES = ("q1", "q0")
@@ -102,3 +108,64 @@ def eval_pairs(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     return once("eval_pairs", spark, sf, make)
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Tagger pairs of both styles; ``pair_id`` is unique."""
+    return tagger_pairs_bimodal(keep_tagged(tagged(spark, sf)), STYLES)
+
+
+def vocab_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the training source file, then of the target file: ``file_no, style_ord, pair_id, txt``."""
+    train = pairs(spark, sf).filter("split = 'train'")
+    sides = F.array(
+        F.struct(F.lit(0).alias("file_no"), F.col("src").alias("txt")),
+        F.struct(F.lit(1).alias("file_no"), F.col("tgt").alias("txt")),
+    )
+    return train.select("style_ord", "pair_id", F.explode(sides).alias("s")).select(
+        "s.file_no", "style_ord", "pair_id", "s.txt"
+    )
+
+
+def vocab(spark: SparkSession, sf: str) -> DataFrame:
+    order = ["file_no", "style_ord", "pair_id"]
+    return once("vocab", spark, sf, lambda: build_vocab(vocab_lines(spark, sf), order))
+
+
+def encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """``pair_id, src_ids, tgt_ids``."""
+    return once("encoded", spark, sf, lambda: encode_pairs(pairs(spark, sf), vocab(spark, sf)))
+
+
+def hypotheses(spark: SparkSession, sf: str) -> DataFrame:
+    """Four hypotheses per line with drawn log probabilities: ``sent_id, hyp_id, tokens, log_p``."""
+    bare = F.regexp_replace("tagged", F.concat(F.lit(r"\[\Q"), "style", F.lit(r"\E[0-9]*\]")), F.lit(""))
+    texts = F.array("tagged", "orig", bare, F.concat_ws(" ", "tagged", "tagged"))
+    rows = tagged(spark, sf).select(F.col("row_id").alias("sent_id"), F.posexplode(texts).alias("hyp_id", "txt"))
+    tokens = F.concat(F.array(F.lit("<sos>")), text.ws_tokens(F.col("txt")), F.array(F.lit("<eos>")))
+    log_p = F.log(1 - hash_uniform(F.col("sent_id"), F.col("hyp_id"), "beam"))
+    return rows.select("sent_id", "hyp_id", tokens.alias("tokens"), log_p.alias("log_p"))
+
+
+def token_log_probs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token of the training targets with its unigram log probability."""
+    rows = pairs(spark, sf).select("pair_id", text.wrap_target(F.col("tgt")).alias("txt"))
+    cells = explode_windows(rows, ["pair_id"], text.ws_tokens(F.col("txt")), 1).withColumnRenamed("w0", "token")
+    counts = checkpointed(cells.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
+    total = counts.agg(F.sum("cnt")).first()[0]
+    probs = counts.select("token", F.log(F.col("cnt") / F.lit(total)).alias("log_p"), "cnt")
+    return lookup_join(cells, probs, ["token"], "cnt")
+
+
+def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """``id, word, vec, cnt``: the most frequent words of the labelled lines take the vectors in turn."""
+
+    def make() -> DataFrame:
+        counts = word_freq(corpus_quality(spark, sf))
+        placed = ordered_index(counts, [F.desc("freq"), F.col("word")], "vec_id")
+        vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+        return placed.join(vectors, "vec_id").select(
+            F.col("vec_id").alias("id"), "word", "vec", F.col("freq").alias("cnt")
+        )
+
+    return once("word_vectors", spark, sf, make)
