@@ -22,7 +22,7 @@ def term_frequencies(corpus: DataFrame, low: int = 1, high: int = 2) -> DataFram
     The text is spread by row before it is exploded, so counting inside a row needs no second
     shuffle and the (much wider) n-gram rows stay where they are made.
     """
-    rows = corpus.select("style", "row_id", "txt").repartition("row_id")
+    rows = scale.spread(corpus.select("style", "row_id", "txt"), "row_id")
     return (
         explode_ngrams(rows, ["style", "row_id"], text.word_tokens(F.col("txt")), low, high)
         .groupBy("row_id", "style", F.col("gram").alias("term"))

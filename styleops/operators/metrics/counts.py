@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from styleops.functions import text
+from styleops.operators import scale
 from styleops.operators.ngrams import explode_ngrams
 
 ORDER = 4
@@ -14,7 +15,7 @@ HYP = -1
 
 def by_pair(pairs: DataFrame) -> DataFrame:
     """Lay pairs out by ``pair_id``: the one shuffle; all work inside a pair then stays local."""
-    return pairs.select("pair_id", "hyp", "refs").repartition("pair_id")
+    return scale.spread(pairs.select("pair_id", "hyp", "refs"), "pair_id")
 
 
 def sides(pairs: DataFrame) -> DataFrame:

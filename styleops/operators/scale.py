@@ -19,6 +19,16 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Lay rows out by key over all shuffle partitions.
+
+    The number is given, so that adaptive execution does not merge partitions whose rows are about
+    to be exploded into many more.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def ordered_index(
     df: DataFrame,
     order: Sequence[Column],

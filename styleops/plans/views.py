@@ -47,18 +47,17 @@ def _split_of(key) -> F.Column:
     return F.when(key % 10 == 0, "test").when(key % 10 == 1, "val").otherwise("train")
 
 
+def lines_of(docs: DataFrame) -> DataFrame:
+    return _lines(docs, F.col("doc_id"), 100_000).select("row_id", "txt")
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document: ``row_id, txt``."""
-    docs = table(spark, sf, "documents")
-    return _lines(docs, F.col("doc_id"), 100_000).select("row_id", "txt")
+    return lines_of(table(spark, sf, "documents"))
 
 
-def corpus_quality(spark: SparkSession, sf: str, lang: str | None = None) -> DataFrame:
-    """Lines of the labelled documents, styled by their quality label."""
-    docs = table(spark, sf, "documents")
-    if lang is not None:
-        docs = docs.filter(F.col("lang") == lang)
-    joined = docs.select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    joined = docs.select("doc_id", "text").join(labels, "doc_id")
     return _lines(joined, F.col("doc_id"), 100_000).select(
         "row_id",
         "txt",
@@ -67,6 +66,14 @@ def corpus_quality(spark: SparkSession, sf: str, lang: str | None = None) -> Dat
     )
 
 
+def corpus_quality(spark: SparkSession, sf: str, lang: str | None = None) -> DataFrame:
+    """Lines of the labelled documents, styled by their quality label."""
+    docs = table(spark, sf, "documents")
+    if lang is not None:
+        docs = docs.filter(F.col("lang") == lang)
+    return quality_of(docs, table(spark, sf, "labels"))
+
+
 def corpus_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the conversations, styled by who speaks."""
     key = F.col("conv_id") * 100 + F.col("turn")
