@@ -450,11 +450,11 @@ view(
 
 @register(
     "nearest_sentences",
-    """SELECT label AS query, vec_id AS id, round(score, 6) AS score, place FROM (
-      SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS place
-      FROM (SELECT label, vec_id, list_inner_product(embedding::DOUBLE[], vec) / sqrt(list_inner_product(vec, vec)) AS score
-            FROM embeddings, (SELECT label AS l, vec FROM v_centroid) c(l, vec), (SELECT l AS label)))
-    WHERE place <= 5""",
+    """SELECT c.label AS query, vec_id AS id,
+      round(list_inner_product(embedding::DOUBLE[], vec) / sqrt(list_inner_product(vec, vec)), 6) AS score,
+      row_number() OVER (PARTITION BY c.label ORDER BY
+        round(list_inner_product(embedding::DOUBLE[], vec) / sqrt(list_inner_product(vec, vec)), 9) DESC, vec_id) AS place
+    FROM embeddings, v_centroid c QUALIFY place <= 5""",
 )
 def nearest_sentences(spark, sf):
     """Five rows nearest to the mean vector of each label."""
@@ -485,7 +485,7 @@ def nearest_words(spark, sf):
 
 # ---- subwords
 
-MERGES = 120
+MERGES = 48
 
 
 def _merges(spark, sf):
