@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from styleops.functions import text
-from styleops.operators.metrics.counts import HYP, ORDER, by_pair, metric_ngrams, n_tokens
+from styleops.operators.metrics.counts import ORDER, by_pair, max_refs, n_tokens, side_by_side
 
 # Smoothing constants of the published scorer.
 SMALL = 1e-9
@@ -30,23 +30,13 @@ def reference_length(lengths: Column, testlen: Column, option: str) -> Column:
 
 def bleu_stats(pairs: DataFrame, option: str = "closest") -> DataFrame:
     """``pair_id, testlen, reflen, guess_1..4, correct_1..4``."""
-    laid = by_pair(pairs)
-    matched = (
-        metric_ngrams(laid)
-        .groupBy("pair_id", "n", "gram")
-        .agg(
-            F.max(F.when(F.col("ref_no") == HYP, F.col("cnt"))).alias("h"),
-            F.max(F.when(F.col("ref_no") != HYP, F.col("cnt"))).alias("r"),
-        )
-        .filter(F.col("h").isNotNull() & F.col("r").isNotNull())
-        .groupBy("pair_id")
-        .agg(
-            *[
-                F.sum(F.when(F.col("n") == n, F.least("h", "r")).otherwise(0)).alias(f"correct_{n}")
-                for n in ORDERS
-            ]
-        )
-    )
+    laid, n_refs = by_pair(pairs), max_refs(pairs)
+    best = F.greatest(F.lit(0), F.lit(0), *[F.col(f"r{r}") for r in range(n_refs)])
+    correct = [
+        F.sum(F.when(F.col("n") == n, F.least("h", best)).otherwise(0)).alias(f"correct_{n}")
+        for n in ORDERS
+    ]
+    matched = side_by_side(laid, n_refs).filter("h > 0").groupBy("pair_id").agg(*correct)
     lengths = laid.select(
         "pair_id",
         n_tokens(F.col("hyp")).alias("testlen"),

@@ -37,6 +37,22 @@ def metric_ngrams(pairs: DataFrame, high: int = ORDER) -> DataFrame:
     )
 
 
+def max_refs(pairs: DataFrame) -> int:
+    return pairs.agg(F.max(F.size("refs"))).first()[0] or 0
+
+
+def side_by_side(laid: DataFrame, n_refs: int, high: int = ORDER) -> DataFrame:
+    """``pair_id, n, gram, h, r0 .. r{n_refs-1}``: counts in the hypothesis and in each reference."""
+    toks = text.ws_tokens(F.col("txt"))
+    counts = [F.count_if(F.col("ref_no") == HYP).alias("h")]
+    counts += [F.count_if(F.col("ref_no") == r).alias(f"r{r}") for r in range(n_refs)]
+    return (
+        explode_ngrams(sides(laid), ["pair_id", "ref_no"], toks, 1, high)
+        .groupBy("pair_id", "n", "gram")
+        .agg(*counts)
+    )
+
+
 def fold_case(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"hyp": F.lower("hyp"), "refs": F.transform("refs", F.lower)})
 

@@ -13,6 +13,10 @@ from styleops.operators.metrics.counts import HYP, by_pair, metric_ngrams
 from styleops.session import checkpointed
 
 
+# A vector of 300 numbers takes about 2.5 kilobytes.
+WIDE_ROWS = 50_000
+
+
 def mean_vector(vectors: DataFrame) -> list[float]:
     """The vector of unknown words: one mean per dimension, computed on the executors."""
     means = (
@@ -32,7 +36,7 @@ def side_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     words = metric_ngrams(by_pair(pairs), 1).select(
         "pair_id", "ref_no", F.col("gram").alias("word"), F.col("cnt").alias("times")
     )
-    known = scale.lookup_join(words, vectors.select("word", "vec", "cnt"), ["word"], "cnt", "left")
+    known = scale.lookup_join(words, vectors.select("word", "vec", "cnt"), ["word"], "cnt", "left", WIDE_ROWS)
     entries = known.groupBy("pair_id", "ref_no", F.when(F.col("vec").isNotNull(), F.col("word")).alias("w")).agg(
         F.sum("times").alias("times"), F.first("vec", ignorenulls=True).alias("vec")
     )

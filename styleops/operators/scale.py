@@ -10,13 +10,14 @@ from pyspark.sql import Window as W
 
 from styleops.session import checkpointed
 
-BROADCAST_ROWS = 100_000
+# About a hundred megabytes of narrow rows (a phrase or word and a number or two).
+BROADCAST_ROWS = 1_000_000
 HEAVY_KEYS = 10_000
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; stops reading beyond them."""
-    return df.limit(rows + 1).count() <= rows
+    """True when ``df``, which should be written already, has at most ``rows`` rows."""
+    return df.count() <= rows
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -77,18 +78,23 @@ def small_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str =
 
 
 def lookup_join(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, how: str = "inner"
+    rows: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    weight: str,
+    how: str = "inner",
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join ``rows`` to a keyed ``table`` whose ``weight`` tells how often each key occurs in rows.
 
     ``table`` should be written already (checkpoint or table), because it is read more than once.
 
-    A table of at most ``BROADCAST_ROWS`` rows is broadcast. Otherwise keys with at least one part in
-    ``HEAVY_KEYS`` of the total weight - no more than ``HEAVY_KEYS`` of them can exist - are
-    broadcast, and only the light keys go through a shuffle join, where none can dominate.
+    A table of at most ``broadcast_rows`` rows is broadcast (pass fewer for wide rows). Otherwise
+    keys with at least one part in ``HEAVY_KEYS`` of the total weight - no more than ``HEAVY_KEYS``
+    of them can exist - are broadcast, and only the light keys go through a shuffle join, where none can dominate.
     """
     on = list(on)
-    if bounded(table):
+    if bounded(table, broadcast_rows):
         return rows.join(F.broadcast(table.drop(weight)), on, how)
     total = table.agg(F.sum(weight)).first()[0]
     heavy = F.col(weight) * HEAVY_KEYS >= F.lit(total)

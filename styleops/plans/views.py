@@ -34,6 +34,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table to be exploded: dealt out by key if its files give fewer splits than there are cores.
+
+    A large table has splits enough and is read as it lies, without a shuffle.
+    """
+    rows = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def _lines(rows: DataFrame, key, width: int) -> DataFrame:
     """One row for each line that is not blank; the key leaves room for the line number."""
     return (
@@ -53,7 +63,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document: ``row_id, txt``."""
-    return lines_of(table(spark, sf, "documents"))
+    return lines_of(spread_table(spark, sf, "documents", "doc_id"))
 
 
 def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,7 +78,7 @@ def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def corpus_quality(spark: SparkSession, sf: str, lang: str | None = None) -> DataFrame:
     """Lines of the labelled documents, styled by their quality label."""
-    docs = table(spark, sf, "documents")
+    docs = spread_table(spark, sf, "documents", "doc_id")
     if lang is not None:
         docs = docs.filter(F.col("lang") == lang)
     return quality_of(docs, table(spark, sf, "labels"))
@@ -77,7 +87,8 @@ def corpus_quality(spark: SparkSession, sf: str, lang: str | None = None) -> Dat
 def corpus_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the conversations, styled by who speaks."""
     key = F.col("conv_id") * 100 + F.col("turn")
-    return _lines(table(spark, sf, "conversations"), key, 10_000).select(
+    rows = spread_table(spark, sf, "conversations", "conv_id")
+    return _lines(rows, key, 10_000).select(
         "row_id",
         "txt",
         F.col("role").alias("style"),
