@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from styleops.functions import text
 from styleops.operators import scale
@@ -63,18 +64,9 @@ def tfidf_weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
         "idf", F.coalesce("idf", "single_idf")
     )
     raw = F.col("tf") * F.col("idf")
-    per_row = known.groupBy("row_id", "style").agg(
-        F.sqrt(F.sum(raw * raw)).alias("norm"),
-        F.collect_list(F.struct("term", "tf", "idf")).alias("terms"),
-    )
-    return per_row.select("style", "row_id", "norm", F.explode("terms").alias("t")).select(
-        "style",
-        "row_id",
-        "t.term",
-        "t.tf",
-        "t.idf",
-        (F.col("t.tf") * F.col("t.idf") / F.col("norm")).alias("weight"),
-    )
+    # a window over one row's terms: the layout by row is kept, so there is nothing to shuffle
+    norm = F.sqrt(F.sum(raw * raw).over(W.partitionBy("row_id", "style")))
+    return known.select("style", "row_id", "term", "tf", "idf", (raw / norm).alias("weight"))
 
 
 def mean_tfidf(weights: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -45,19 +45,21 @@ def phrase_candidates(corpus: DataFrame, max_n: int = MAX_N) -> DataFrame:
 def phrase_hits(corpus: DataFrame, lexicon: DataFrame, seed: int = 0, max_n: int = MAX_N) -> DataFrame:
     """``style, row_id, i, k``: widest phrase at each position that is in the lexicon and drawn.
 
-    A lexicon of known small size is broadcast. A larger one is copied ``SALTS`` times and the
-    candidates of one phrase are dealt over the copies, so that no phrase lands in one task.
+    A mined lexicon tells how often its phrases occur, so its frequent phrases can be broadcast
+    whatever its size. One without frequencies is broadcast if small; else it is copied ``SALTS``
+    times and the candidates of one phrase are dealt over the copies.
     """
     found = phrase_candidates(corpus, max_n)
-    phrases = lexicon.select(
-        F.col("main_style").alias("style"), F.col("term").alias("phrase"), "score"
-    )
-    if scale.bounded(phrases):
-        joined = found.join(F.broadcast(phrases), ["style", "phrase"])
+    phrases = lexicon.withColumnsRenamed({"main_style": "style", "term": "phrase"})
+    keys = ["style", "phrase"]
+    if "freq" in lexicon.columns:
+        joined = scale.lookup_join(found, phrases.select(*keys, "score", "freq"), keys, "freq")
+    elif scale.bounded(phrases):
+        joined = found.join(F.broadcast(phrases.select(*keys, "score")), keys)
     else:
         salt = F.pmod(F.xxhash64("row_id", "i"), F.lit(SALTS)).cast("int")
-        copies = phrases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = found.withColumn("salt", salt).join(copies, ["style", "phrase", "salt"])
+        copies = phrases.select(*keys, "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        joined = found.withColumn("salt", salt).join(copies, [*keys, "salt"])
     drawn = hash_uniform(F.col("row_id"), F.col("i"), F.col("k"), seed) < F.col("score")
     kept = joined.filter(drawn).select("style", "row_id", "i", "k").repartition("row_id")
     return kept.groupBy("style", "row_id", "i").agg(F.max("k").alias("k"))
