@@ -114,6 +114,7 @@ def inline_hits(
     row_id: Column,
     style: Column,
     lookup: Column,
+    firsts: Column,
     buckets: int,
     longest: int,
     seed: int,
@@ -121,16 +122,20 @@ def inline_hits(
 ) -> Column:
     """Hits of one row from a lexicon held as a literal hash table; no join and no shuffle.
 
-    A window wider than the longest phrase can only match where the sentence end cuts it short.
+    Windows are tried only where the word starts some phrase. A window wider than the longest
+    phrase can only match where the sentence end cuts it short.
     """
 
+    def slot(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
     def widest(i: Column) -> Column:
         found = F.lit(0)
         for k in range(1, max_n + 1):
             phrase = F.concat_ws(" ", style, F.slice(toks, i + 1, k))
             score = text.let(
                 phrase,
-                lambda p: F.try_element_at(F.get(lookup, F.pmod(F.xxhash64(p), F.lit(buckets)).cast("int")), p),
+                lambda p: F.try_element_at(F.get(lookup, slot(p)), p),
             )
             drawn = text.let(
                 score, lambda s: F.when(s.isNotNull(), hash_uniform(row_id, i, F.lit(k), seed) < s)
@@ -140,8 +145,12 @@ def inline_hits(
             found = F.when(drawn, F.lit(k)).otherwise(found)
         return found
 
+    def starts(i: Column) -> Column:
+        word = F.concat_ws(" ", style, F.get(toks, i))
+        return text.let(word, lambda w: F.array_contains(F.get(firsts, slot(w)), w))
+
     at = F.transform(
-        F.sequence(F.lit(0), F.size(toks) - 1),
+        F.filter(F.sequence(F.lit(0), F.size(toks) - 1), starts),
         lambda i: F.struct(i.alias("i"), widest(i).alias("k")),
     )
     return F.when(
@@ -149,27 +158,39 @@ def inline_hits(
     ).otherwise(F.array().cast("array<struct<i:int,k:int>>"))
 
 
-def lexicon_literal(lexicon: DataFrame) -> tuple[Column, int, int]:
-    """A lexicon of checked size as a constant: an array of small maps, addressed by hash."""
-    phrases = lexicon.select(F.concat_ws(" ", "main_style", "term").alias("p"), "score")
-    rows = phrases.limit(INLINE_PHRASES + 1).collect()
+def lexicon_literal(lexicon: DataFrame) -> tuple[Column, Column, int, int]:
+    """A lexicon of checked size as constants: phrases with scores and phrase starts, by hash."""
+    phrase = F.concat_ws(" ", "main_style", "term")
+    start = F.concat_ws(" ", "main_style", F.substring_index("term", " ", 1))
+    rows = lexicon.select(phrase.alias("p"), start.alias("f"), "score").limit(INLINE_PHRASES + 1).collect()
     if len(rows) > INLINE_PHRASES:
         raise ValueError(f"more than {INLINE_PHRASES} phrases; use the join form")
     buckets = max(1, 2 * len(rows))
-    spark = lexicon.sparkSession
-    table: list[dict[str, float]] = [{} for _ in range(buckets)]
-    frame = spark.createDataFrame([(r["p"], r["score"]) for r in rows], "p string, score double")
-    placed = frame.select(F.pmod(F.xxhash64("p"), F.lit(buckets)).cast("int").alias("b"), "p", "score")
-    for r in placed.collect():
-        table[r["b"]][r["p"]] = r["score"]
-    literal = F.from_json(F.lit(json.dumps(table)), "array<map<string,double>>")
+
+    def slot(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
+
+    frame = lexicon.sparkSession.createDataFrame(
+        [(r["p"], r["f"], r["score"]) for r in rows], "p string, f string, score double"
+    )
+    phrases: list[dict[str, float]] = [{} for _ in range(buckets)]
+    firsts: list[list[str]] = [[] for _ in range(buckets)]
+    for r in frame.select(slot("p").alias("at"), slot("f").alias("fat"), "p", "f", "score").collect():
+        phrases[r["at"]][r["p"]] = r["score"]
+        if r["f"] not in firsts[r["fat"]]:
+            firsts[r["fat"]].append(r["f"])
     longest = max((len(r["p"].split(" ")) - 1 for r in rows), default=1)
-    return literal, buckets, longest
+    return (
+        F.from_json(F.lit(json.dumps(phrases)), "array<map<string,double>>"),
+        F.from_json(F.lit(json.dumps(firsts)), "array<array<string>>"),
+        buckets,
+        longest,
+    )
 
 
 def tag_inline(
     corpus: DataFrame,
-    table: tuple[Column, int, int],
+    table: tuple[Column, Column, int, int],
     seed: int = 0,
     concat: bool = True,
     max_n: int = MAX_N,
