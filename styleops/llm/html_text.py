@@ -65,7 +65,7 @@ class Tree(HTMLParser):
         self.text = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK or tag in NEVER:
             self.flush()
         elif tag == "br":
             self.text.append(" ")
@@ -97,7 +97,7 @@ class Tree(HTMLParser):
 
     def _pop(self) -> None:
         tag, path, _ = self.open[-1]
-        if tag in BLOCK:
+        if tag in BLOCK or tag in NEVER:
             self.flush()
         self.open.pop()
         if tag in BLOCK or tag in NEVER:
@@ -109,8 +109,6 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK:
-            self.flush()
         if any(t == tag for t, _, _ in self.open[1:]):
             while self.open[-1][0] != tag:
                 self._pop()
@@ -177,7 +175,7 @@ def importance(pages: DataFrame) -> DataFrame:
     Presentation: the entropy, to the base of the number of pages, of the child sequences a node
     has. Content: one minus the mean over its texts of log(pages with the text) to the same base; a text that is on
     every page counts 0, one that is on one page 1. They are joined with weights 1 - gamma^l and
-    gamma^l, l being the number of sequences. Only counts are shuffled, summed within batches first.
+    gamma^l, l being the number of sequences; a branch is never less important than its texts. Only counts are shuffled, summed within batches first.
     """
     small_batches(pages.sparkSession)
     counted = pages.select("url", "html").mapInPandas(_features, "host string, path string, kind string, feature string, pages long")
@@ -194,7 +192,7 @@ def importance(pages: DataFrame) -> DataFrame:
     presentation = (F.log("shown") - F.col("s_logs") / F.col("shown")) / base
     content = F.when(F.col("texts") > 0, 1 - F.col("t_logs") / F.col("texts") / base).otherwise(0.0)
     weight = F.pow(F.lit(GAMMA), F.col("styles"))
-    composite = (1 - weight) * F.least(presentation, F.lit(1.0)) + weight * content
+    composite = F.greatest(content, (1 - weight) * F.least(presentation, F.lit(1.0)) + weight * content)
     return nodes.select("host", "path", "pages", F.when(F.col("pages") >= LEAST_PAGES, composite).alias("composite"))
 
 

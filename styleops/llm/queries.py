@@ -79,26 +79,34 @@ FROM n JOIN g ON n.norm = g.norm
 
 _NUMBER = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 SHARD_SQL = f"""
+WITH slots AS (
+  SELECT unnest(range({sharding.TABLE_SIZE}))::INTEGER AS slot, unnest({sharding.lookup_table(SHARDS)}) AS shard
+), placed AS (
+  SELECT doc_id, ({_NUMBER.format("coalesce(doc_id::VARCHAR, '')")} % {sharding.TABLE_SIZE})::INTEGER AS slot FROM documents
+)
+SELECT placed.slot, doc_id, shard FROM placed JOIN slots ON placed.slot = slots.slot
+"""
+
+
+def table_sql(size: int) -> str:
+    """The lookup table built turn by turn in SQL (``slot, shard``); it takes minutes at production size."""
+    mine = _NUMBER.format("'offset:' || shard"), _NUMBER.format("'skip:' || shard")
+    return f"""
 WITH RECURSIVE shards AS (
   SELECT k, 'shard-' || lpad(k::VARCHAR, 2, '0') AS shard FROM range({len(SHARDS)}) AS r(k)
 ), walks AS (
-  SELECT list(list_transform(range({sharding.TABLE_SIZE}), lambda j:
-    ({_NUMBER.format("'offset:' || shard")} + j * ({_NUMBER.format("'skip:' || shard")} % {sharding.TABLE_SIZE - 1} + 1)) % {sharding.TABLE_SIZE}) ORDER BY k) AS walk
-  FROM shards
+  SELECT list(list_transform(range({size}), lambda j: ({mine[0]} + j * ({mine[1]} % {size - 1} + 1)) % {size}) ORDER BY k) AS walk FROM shards
 ), turns AS (
-  SELECT 0 AS turn, NULL::BIGINT AS slot, list_transform(range({sharding.TABLE_SIZE}), lambda x: false) AS taken
+  SELECT 0 AS turn, NULL::BIGINT AS slot, list_transform(range({size}), lambda x: false) AS taken
   UNION ALL
   SELECT turn + 1, pick, list_concat(taken[1:pick], [true], taken[pick + 2:])
   FROM (
     SELECT turn, taken, list_filter(walk[turn % {len(SHARDS)} + 1], lambda s: NOT taken[s + 1])[1] AS pick
-    FROM turns, walks WHERE turn < {sharding.TABLE_SIZE}
+    FROM turns, walks WHERE turn < {size}
   )
-), slots AS (
-  SELECT slot, shard FROM turns JOIN shards ON k = (turn - 1) % {len(SHARDS)} WHERE slot IS NOT NULL
-), placed AS (
-  SELECT doc_id, ({_NUMBER.format("coalesce(doc_id::VARCHAR, '')")} % {sharding.TABLE_SIZE})::INTEGER AS slot FROM documents
 )
-SELECT placed.slot, doc_id, shard FROM placed JOIN slots ON placed.slot = slots.slot
+SELECT slot, shard FROM turns JOIN shards ON k = (turn - 1) % {len(SHARDS)} WHERE slot IS NOT NULL
 """
 
+
 ORACLE = {"op6_exact_dedup": EXACT_SQL, "op10_sharding": SHARD_SQL}
