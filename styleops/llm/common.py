@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def narrow(df: DataFrame, share: int = 16) -> DataFrame:
+    """``df`` in one file for ``share`` shuffle partitions, for rows far smaller than the text they come from."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, partitions(spark) // share))
+
+
+def regrouped(df: DataFrame, share: int = 16) -> DataFrame:
+    """As ``narrow``, by a shuffle of the few rows that a costly stage gives, so that the stage keeps its tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, partitions(spark) // share))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet to the shared scratch folder once and read it from there."""
     path = scratch_path(df.sparkSession, name)
@@ -33,8 +45,9 @@ def whole_text(column: str = "text") -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-case A-Z and nothing else; texts of ASCII alone take the cheaper function."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.common import written
+from styleops.llm.common import narrow
+from styleops.llm.common import written as written_whole
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_whole(narrow(df), name)
 
 
 def _mins(edges: DataFrame, name: str) -> DataFrame:

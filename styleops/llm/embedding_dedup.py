@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.common import partitions, runs, small_batches, written
+from styleops.llm.common import narrow, partitions, regrouped, runs, small_batches, written
 from styleops.llm.components import components
 
 THRESHOLD = 0.95
@@ -133,7 +133,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     rows = written(base.mapInPandas(_keyed, "vec_id long, node string, embedding array<double>"), "vectors")
     good = rows.filter(F.col("node").isNotNull())
     classes = good.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("embedding").alias("embedding"))
-    classes = written(classes, "vector-classes")
+    classes = written(narrow(classes), "vector-classes")
     bits, tables = plan(classes.count(), threshold)
     signed = written(
         classes.mapInPandas(_signed(bits, tables), "node string, size long, embedding array<double>, dim int, keys array<long>"),
@@ -141,7 +141,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     )
     met = signed.select("node", "dim", F.posexplode("keys").alias("table", "key"))
     counts = met.groupBy("table", "dim", "key").count().filter("count > 1")
-    buckets = written(counts.select("table", "dim", "key", F.ceil(F.col("count") / block).alias("blocks")), "buckets")
+    buckets = written(narrow(counts.select("table", "dim", "key", F.ceil(F.col("count") / block).alias("blocks"))), "buckets")
     laid = (
         signed.select("*", F.posexplode("keys").alias("table", "key"))
         .join(buckets, ["table", "dim", "key"])
@@ -153,12 +153,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
         )
     )
     run = ["table", "dim", "key", "i", "j"]
-    found = written(
-        laid.repartition(max(2 * partitions(spark), 16), *run)
-        .sortWithinPartitions(*run)
-        .mapInPandas(_compared(threshold), "node string, n_links long, other string"),
-        "vector-links",
-    )
+    met_in = laid.repartition(max(partitions(spark), 16), *run).sortWithinPartitions(*run)
+    found = met_in.mapInPandas(_compared(threshold), "node string, n_links long, other string")
+    found = written(regrouped(found), "vector-links")
     links = found.groupBy("node").agg(F.sum("n_links").alias("more"))
     parts = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     named = (
@@ -167,12 +164,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
         .join(parts, "node", "left")
         .select("node", F.coalesce("component", "node").alias("component"), (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     )
-    named = written(named, "named-classes")
+    named = written(narrow(named), "named-classes")
     smallest = (
         good.groupBy("node").agg(F.min("vec_id").alias("least"))
         .join(named, "node").groupBy("component").agg(F.min("least").alias("component_id"))
     )
-    per_class = written(named.join(smallest, "component").select("node", "n_links", "component_id"), "classes-of-vectors")
+    per_class = written(narrow(named.join(smallest, "component").select("node", "n_links", "component_id")), "classes-of-vectors")
     joined = rows.select("vec_id", "node").join(per_class, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return joined.select(

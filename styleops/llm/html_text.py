@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.common import small_batches, written
+from styleops.llm.common import narrow, small_batches, written
 
 #: Weight of presentation against content falls with this base to the power of the number of styles.
 GAMMA = 0.9
@@ -213,10 +213,10 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """
     small_batches(pages.sparkSession)
     base = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    nodes = written(importance(base), "style-trees")
+    nodes = written(narrow(importance(base)), "style-trees")
     pooled = nodes.filter(F.col("host") == ALL_HOSTS).select("path", F.col("composite").alias("pooled"))
     judged = nodes.filter(F.col("host") != ALL_HOSTS).join(pooled, "path", "left")
-    noise = written(judged.filter(F.least("composite", "pooled") < least).select("host", "path"), "noisy-branches")
+    noise = written(narrow(judged.filter(F.least("composite", "pooled") < least).select("host", "path")), "noisy-branches")
     per_host = noise.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("noisy"))
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
 

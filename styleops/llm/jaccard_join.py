@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.common import blob, blocks, partitions, runs, small_batches, total_bytes, unblob, whole_text, written
+from styleops.llm.common import blob, blocks, narrow, partitions, regrouped, runs, small_batches, total_bytes, unblob, whole_text, written
 from styleops.llm.components import components
 
 WORDS = 5
@@ -298,7 +298,7 @@ def _laid_out(sets: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     rows = written(sets.join(groups, "node").withColumn("class", size_class), "candidate-sets")
     classes = rows.groupBy("component", "class").agg(F.count(F.lit(1)).alias("n"))
     whole = classes.groupBy("component").agg(F.sum("n").alias("all")).filter(F.col("all") > block)
-    large = written(classes.join(whole, "component").select("component", "class", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-groups")
+    large = written(narrow(classes.join(whole, "component").select("component", "class", F.ceil(F.col("n") / block).cast("int").alias("blocks"))), "large-groups")
     for shift, name in ((0, "blocks"), (1, "above"), (-1, "below")):
         near = large.select("component", (F.col("class") - shift).alias("class"), F.col("blocks").alias(name))
         rows = rows.join(near, ["component", "class"], "left")
@@ -353,22 +353,21 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, block: int = BLOCK_SETS)
             nodes = [keys[k : k + 16] for k in range(0, len(keys), 16)]
             yield pd.DataFrame({"doc_id": ids, "node": nodes, "n_shingles": unblob(rows["sizes"], "<u4").astype("int64")})
 
-    members = written(shared.filter("bucket < 0").mapInPandas(unpack, "doc_id long, node binary, n_shingles long"), "members")
+    members = written(narrow(shared.filter("bucket < 0").mapInPandas(unpack, "doc_id long, node binary, n_shingles long")), "members")
     sets = written(shared.filter("bucket >= 0").groupBy("bucket").applyInPandas(_gather, "node binary, size long, grams binary"), "ordered-sets")
     heads = written(sets.mapInPandas(_prefixes, "gram long, node binary"), "prefix-grams")
     stars = heads.groupBy("gram").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "least")
-    edges = heads.join(written(stars, "stars"), "gram").filter(F.col("node") != F.col("least")).select("node", "least").distinct()
+    edges = heads.join(written(narrow(stars), "stars"), "gram").filter(F.col("node") != F.col("least")).select("node", "least").distinct()
     groups = components(edges)
     laid = _laid_out(sets, groups, block)
-    links = written(
-        laid.repartition(2 * partitions(spark), *GROUP).sortWithinPartitions(*GROUP).mapInPandas(_joined, "u binary, v binary"), "set-links"
-    )
+    met_in = laid.repartition(partitions(spark), *GROUP).sortWithinPartitions(*GROUP)
+    links = written(regrouped(met_in.mapInPandas(_joined, "u binary, v binary")), "set-links")
     joined = components(links)
     per_set = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = per_set.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(named, "named-sets")
+    named = written(narrow(named), "named-sets")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    own = written(named.join(smallest, "component").select("node", "component_id"), "components-of-sets")
+    own = written(narrow(named.join(smallest, "component").select("node", "component_id")), "components-of-sets")
     out = members.join(own, "node", "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.common import small_batches, whole_text, written
+from styleops.llm.common import narrow, small_batches, whole_text, written
 
 #: The fit takes at most this many labelled rows, those with the smallest hash of the id.
 TRAINING_ROWS = 20_000
@@ -131,7 +131,7 @@ def fit(rows: DataFrame, label: str = "label", limit: int = TRAINING_ROWS) -> Ru
     At most ``limit`` rows are taken, by the smallest hash of ``doc_id``. With no row, or with one
     class only, the score is constant (0.5 without rows).
     """
-    sample = written(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col(label).cast("double").alias("label"), *STATISTICS), "training")
+    sample = written(narrow(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col(label).cast("double").alias("label"), *STATISTICS)), "training")
     found = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(found) < 2:
         return RuleEnsemble(0.0 if not found else (20.0 if 1.0 in found else -20.0), {})
@@ -142,7 +142,7 @@ def fit(rows: DataFrame, label: str = "label", limit: int = TRAINING_ROWS) -> Ru
         share = found.get(1.0, 0) / sum(found.values())
         return RuleEnsemble(20.0 * (2 * share - 1), {})
     flags = F.array(*[F.when(holds(r), 1.0).otherwise(0.0) for r in rules])
-    hits = written(sample.select("label", flags.alias("flags")), "rule-hits")
+    hits = written(narrow(sample.select("label", flags.alias("flags"))), "rule-hits")
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False)
     model = lasso.fit(hits.select("label", array_to_vector("flags").alias("features")))
     weights = {r: w for r, w in zip(rules, model.coefficients.toArray().tolist(), strict=True) if w != 0}
