@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from styleops.llm.common import ascii_lower, partitions, whole_text, written
+from styleops.llm.common import ascii_lower, narrow, partitions, regrouped, whole_text, written
 
 PREFIX = 24
 LEAST_BUCKETS = 64
@@ -45,7 +45,7 @@ def exact_groups(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         F.last("first", ignorenulls=True).over(near)["doc_id"].alias("run_keep"),
         F.sha2("norm", 256).alias("text_sha256"),
     )
-    rows = written(runs, "content-runs")
+    rows = written(regrouped(runs), "content-runs")
     per_bucket = rows.groupBy("text_sha256", "bucket").agg(
         F.max("run_keep").alias("run_keep"), F.count(F.lit(1)).alias("run_size")
     )
@@ -56,13 +56,14 @@ def exact_groups(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         F.max("run_keep").over(same).alias("keep_id"),
         F.sum("run_size").over(same).alias("group_size"),
     )
-    return rows.join(groups, ["text_sha256", "bucket"]).select(
+    found = rows.join(groups, ["text_sha256", "bucket"]).select(
         "doc_id",
         "keep_id",
         "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
         "text_sha256",
     )
+    return narrow(found)
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
