@@ -14,10 +14,10 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks remembered by one worker; longer ones are not remembered, so its memory is bounded.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 1_000_000
 MEMO_CHARS = 48
 #: Chunks joined into one call of the library.
-JOINED = 64
+JOINED = 256
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
 
@@ -32,39 +32,42 @@ def tokenizer(path: str):
     return made
 
 
-def encode_joined(path: str, chunks: Sequence[str]) -> list[np.ndarray]:
-    """The ids of each chunk; chunks start with white space, so they may be encoded side by side."""
+def encode_joined(path: str, chunks: Sequence[str]) -> list[bytes]:
+    """The ids of each chunk, as little-endian 32-bit numbers; chunks start with white space, so they may stand side by side."""
     parts = [chunks[k : k + JOINED] for k in range(0, len(chunks), JOINED)]
     out = []
     for part, done in zip(parts, tokenizer(path).encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
         ends = np.cumsum([len(c) for c in part])
-        ids = np.asarray(done.ids, dtype="<u4")
-        of = np.searchsorted(ends, np.asarray([e for _, e in done.offsets], dtype=np.int64), side="left")
-        out.extend(np.split(ids, np.searchsorted(of, np.arange(1, len(part)))))
+        data = np.asarray(done.ids, dtype="<u4").tobytes()
+        cuts = 4 * np.searchsorted(np.asarray([e for _, e in done.offsets], dtype=np.int64), ends, side="right")
+        at = 0
+        for cut in cuts.tolist():
+            out.append(data[at:cut])
+            at = cut
     return out
 
 
 class Memo:
-    """Values of chunks, made for all the unknown chunks of a batch at once."""
+    """Values of chunks, made for all the unknown chunks of a batch at once; long ones are forgotten after it."""
 
     def __init__(self, make: Callable[[list], list]):
-        self.make, self.kept = make, {}
+        self.make, self.kept, self.long = make, {}, []
 
     def of(self, batch: list[list]) -> dict:
         if len(self.kept) > MEMO_CHUNKS:
-            self.kept = {}
-        kept = self.kept
-        new = list({c for chunks in batch for c in chunks if c not in kept})
-        made = dict(zip(new, self.make(new), strict=True))
-        short = {c: v for c, v in made.items() if len(c) <= MEMO_CHARS}
-        kept.update(short)
-        return kept if len(short) == len(made) else {**made, **{c: kept[c] for chunks in batch for c in chunks if c in kept}}
+            self.kept, self.long = {}, []
+        for chunk in self.long:
+            del self.kept[chunk]
+        new = list(set().union(*batch).difference(self.kept))
+        self.kept.update(zip(new, self.make(new), strict=True))
+        self.long = [c for c in new if len(c) > MEMO_CHARS]
+        return self.kept
 
 
 @lru_cache(maxsize=4)
 def count_memo(path: str) -> Memo:
     def make(words: list[bytes]) -> list[int]:
-        return [len(x) for x in encode_joined(path, [" " + w.decode("utf-8", "replace") for w in words])]
+        return [len(x) // 4 for x in encode_joined(path, [" " + w.decode("utf-8", "replace") for w in words])]
 
     return Memo(make)
 
@@ -72,7 +75,7 @@ def count_memo(path: str) -> Memo:
 @lru_cache(maxsize=4)
 def ids_memo(path: str) -> Memo:
     def make(keys: list[str]) -> list[bytes]:
-        return [x.tobytes() for x in encode_joined(path, [k if k[0] == "\n" else " " + k for k in keys])]
+        return encode_joined(path, [k if k[0] == "\n" else " " + k for k in keys])
 
     return Memo(make)
 
