@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,98 +13,109 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.chunks import MEMO_CHARS, MEMO_CHUNKS, regular
+from styleops.llm.chunks import MEMO_CHARS, regular
 from styleops.llm.common import blocks, small_batches, whole_text
 
 #: Texts are gathered into blocks of about this many characters, each replayed at once.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 3_000_000
+#: Words, chunks and pairs remembered by one worker.
+MEMO_WORDS, MEMO_CHUNKS, MEMO_PAIRS = 500_000, 600_000, 300_000
 
 
 class Merges:
-    """The ranks of a vocabulary, as pairs of ids: ``{(left, right): id}`` filled as pairs are met."""
+    """The ranks of a vocabulary; a token's rank is its id."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
             pairs = [line.split() for line in file if line.strip()]
         self.rank = {base64.b64decode(token): int(number) for token, number in pairs}
         self.token = {number: token for token, number in self.rank.items()}
-        self.byte = [self.rank[bytes([b])] for b in range(256)]
-        self.joined: dict[tuple[int, int], int | None] = {}
-
-    def merge(self, left: int, right: int) -> int | None:
-        """The id (and rank) of two neighbours joined, None if the vocabulary has no such token."""
-        pair = (left, right)
-        if pair not in self.joined:
-            if len(self.joined) > MEMO_CHUNKS:
-                self.joined = {}
-            self.joined[pair] = self.rank.get(self.token[left] + self.token[right])
-        return self.joined[pair]
+        self.byte = np.asarray([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.bytes_rank = np.asarray([[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
+        #: What two neighbours become, -1 if the vocabulary has no such token; filled as pairs are met.
+        self.joined: dict[tuple[int, int], int] = {}
 
 
 def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     """The ids of each word, merged as the ranks say: lowest rank first, leftmost first.
 
-    A word that is a token itself is taken whole.
-
-    All words lie in one row of symbols with links to their neighbours. An index from rank to the
-    positions where such a pair starts is worked off in the order of ranks; a merge touches only the
-    pairs on its two sides. If a merge makes a pair of a lower rank in a word, the word's remaining
-    positions of the present rank wait until that pair is done.
+    A word that is a token itself is taken whole. The others lie in one row of symbols with links to their
+    neighbours. An index from rank to the positions where such a pair starts is worked off in the
+    order of ranks; a merge touches only the pairs on its two sides. If a merge makes a pair of a
+    lower rank in a word, the word's remaining positions of the present rank wait until that pair is done.
     """
-    symbols: list[int] = []
-    word_of: list[int] = []
-    starts: list[int] = []
-    for k, word in enumerate(words):
-        starts.append(len(symbols))
-        whole = merges.rank.get(word)
-        made = [merges.byte[b] for b in word] if whole is None else [whole]
-        symbols.extend(made)
-        word_of.extend([k] * len(made))
-    n = len(symbols)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    for k, start in enumerate(starts):
-        end = starts[k + 1] if k + 1 < len(starts) else n
-        if end > start:
-            before[start], after[end - 1] = -1, -1
-    index: dict[int, list[int]] = defaultdict(list)
-    merge = merges.merge
-    for at in range(n):
-        if after[at] >= 0 and (rank := merge(symbols[at], symbols[at + 1])) is not None:
-            index[rank].append(at)
+    out = [[merges.rank[w]] if w in merges.rank else [] for w in words]
+    parts = [k for k, ids in enumerate(out) if not ids and words[k]]
+    if not parts:
+        return out
+    raw = np.frombuffer(b"".join([words[k] for k in parts]), dtype=np.uint8)
+    n, ends = len(raw), np.cumsum([len(words[k]) for k in parts])
+    starts = np.concatenate([[0], ends[:-1]])
+    ranked = np.full(n, -1, dtype=np.int64)
+    ranked[:-1] = merges.bytes_rank[raw[:-1], raw[1:]]
+    ranked[ends - 1] = -1
+    found = np.flatnonzero(ranked >= 0)
+    found = found[np.argsort(ranked[found], kind="stable")]
+    heads = np.flatnonzero(np.diff(ranked[found], prepend=-1))
+    cuts = [*heads.tolist(), len(found)]
+    index = {r: found[a:b].tolist() for r, a, b in zip(ranked[found[heads]].tolist(), cuts, cuts[1:], strict=False)}
+    symbols = merges.byte[raw].tolist()
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1], before[starts] = -1, -1
+    starts = starts.tolist()
+    after, before = after.tolist(), before.tolist()
+    joined, token, rank_of = merges.joined, merges.token, merges.rank.get
     ranks = list(index)
     heapq.heapify(ranks)
     while ranks:
         rank = heapq.heappop(ranks)
+        positions = index.pop(rank)
+        positions.sort()
         held: set[int] = set()
         late: list[int] = []
-        for at in sorted(index.pop(rank, ())):
+        for at in positions:
             right = after[at]
-            if symbols[at] < 0 or right < 0 or merge(symbols[at], symbols[right]) != rank:
+            me = symbols[at]
+            if me < 0 or right < 0 or token[rank] != token[me] + token[symbols[right]]:
                 continue
-            if word_of[at] in held:
+            if held and bisect_right(starts, at) in held:
                 late.append(at)
                 continue
             symbols[at], symbols[right] = rank, -1
             after[at] = far = after[right]
+            left = before[at]
+            pairs = []
             if far >= 0:
                 before[far] = at
-            left = before[at]
-            for start, other in ((left, at), (at, far)):
-                if start >= 0 and other >= 0 and (new := merge(symbols[start], symbols[other])) is not None:
-                    if new not in index:
+                pairs.append((at, rank, symbols[far]))
+            if left >= 0:
+                pairs.append((left, symbols[left], rank))
+            for start, a, b in pairs:
+                new = joined.get((a, b))
+                if new is None:
+                    new = joined[a, b] = rank_of(token[a] + token[b], -1)
+                if new >= 0:
+                    if new in index:
+                        index[new].append(start)
+                    else:
+                        index[new] = [start]
                         heapq.heappush(ranks, new)
-                    index[new].append(start)
                     if new < rank:
-                        held.add(word_of[at])
+                        held.add(bisect_right(starts, at))
         if late:
-            if rank not in index:
+            if rank in index:
+                index[rank].extend(late)
+            else:
+                index[rank] = late
                 heapq.heappush(ranks, rank)
-            index[rank].extend(late)
-    out = []
-    for k, start in enumerate(starts):
-        end = starts[k + 1] if k + 1 < len(starts) else n
-        out.append([s for s in symbols[start:end] if s >= 0])
+    if len(joined) > MEMO_PAIRS:
+        joined.clear()
+    left = np.asarray(symbols)
+    live = left >= 0
+    counts = np.concatenate([[0], np.cumsum(live)])[np.concatenate([[0], ends])].tolist()
+    left = left[live].tolist()
+    for k, a, b in zip(parts, counts, counts[1:], strict=False):
+        out[k] = left[a:b]
     return out
 
 
@@ -129,7 +140,7 @@ class Codec:
         self.chunks: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > MEMO_CHUNKS:
+        if len(self.words) > MEMO_WORDS:
             self.words = {}
         if len(self.chunks) > MEMO_CHUNKS:
             self.chunks = {}
