@@ -13,13 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.chunks import MEMO_CHARS, regular
+from styleops.llm.chunks import MEMO_CHARS, Memo, chunk_keys, chunk_of, regular
 from styleops.llm.common import blocks, small_batches, whole_text
 
 #: Texts are gathered into blocks of about this many characters, each replayed at once.
 BLOCK_CHARS = 3_000_000
 #: Words, chunks and pairs remembered by one worker.
-MEMO_WORDS, MEMO_CHUNKS, MEMO_PAIRS = 500_000, 600_000, 300_000
+MEMO_WORDS, MEMO_CHUNKS, MEMO_PAIRS = 500_000, 400_000, 300_000
 
 
 class Merges:
@@ -29,12 +29,21 @@ class Merges:
         with open(path, "rb") as file:
             pairs = [line.split() for line in file if line.strip()]
         self.rank = {base64.b64decode(token): int(number) for token, number in pairs}
-        self.token = {number: token for token, number in self.rank.items()}
+        self.token = [b""] * (max(self.rank.values()) + 1)
+        for token, number in self.rank.items():
+            self.token[number] = token
         self.byte = np.asarray([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
         self.bytes_rank = np.asarray([[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
-        #: What two neighbours become, -1 if the vocabulary has no such token; filled as pairs are met.
         self.joined: dict[tuple[int, int], int] = {}
 
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """What two neighbours become, -1 if the vocabulary has no such token: of bytes first, others filled as they are met."""
+        if not self.joined or len(self.joined) > MEMO_PAIRS:
+            a, b = np.nonzero(self.bytes_rank >= 0)
+            codes = zip(self.byte[a].tolist(), self.byte[b].tolist(), strict=True)
+            self.joined = dict(zip(codes, self.bytes_rank[a, b].tolist(), strict=True))
+        return self.joined
+
 
 def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     """The ids of each word, merged as the ranks say: lowest rank first, leftmost first.
@@ -64,7 +73,7 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     after[ends - 1], before[starts] = -1, -1
     starts = starts.tolist()
     after, before = after.tolist(), before.tolist()
-    joined, token, rank_of = merges.joined, merges.token, merges.rank.get
+    joined, token, rank_of, heappush = merges.pairs(), merges.token, merges.rank.get, heapq.heappush
     ranks = list(index)
     heapq.heapify(ranks)
     while ranks:
@@ -75,31 +84,39 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
         late: list[int] = []
         for at in positions:
             right = after[at]
-            me = symbols[at]
-            if me < 0 or right < 0 or token[rank] != token[me] + token[symbols[right]]:
-                continue
+            if right < 0 or joined.get((symbols[at], symbols[right])) != rank:
+                continue  # a merge on either side was first
             if held and bisect_right(starts, at) in held:
                 late.append(at)
                 continue
             symbols[at], symbols[right] = rank, -1
             after[at] = far = after[right]
-            left = before[at]
-            pairs = []
             if far >= 0:
                 before[far] = at
-                pairs.append((at, rank, symbols[far]))
+                pair = (rank, symbols[far])
+                new = joined.get(pair)
+                if new is None:
+                    new = joined[pair] = rank_of(token[rank] + token[pair[1]], -1)
+                if new >= 0:
+                    if new in index:
+                        index[new].append(at)
+                    else:
+                        index[new] = [at]
+                        heappush(ranks, new)
+                    if new < rank:
+                        held.add(bisect_right(starts, at))
+            left = before[at]
             if left >= 0:
-                pairs.append((left, symbols[left], rank))
-            for start, a, b in pairs:
-                new = joined.get((a, b))
+                pair = (symbols[left], rank)
+                new = joined.get(pair)
                 if new is None:
-                    new = joined[a, b] = rank_of(token[a] + token[b], -1)
+                    new = joined[pair] = rank_of(token[pair[0]] + token[rank], -1)
                 if new >= 0:
                     if new in index:
-                        index[new].append(start)
+                        index[new].append(left)
                     else:
-                        index[new] = [start]
-                        heapq.heappush(ranks, new)
+                        index[new] = [left]
+                        heappush(ranks, new)
                     if new < rank:
                         held.add(bisect_right(starts, at))
         if late:
@@ -107,9 +124,7 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
                 index[rank].extend(late)
             else:
                 index[rank] = late
-                heapq.heappush(ranks, rank)
-    if len(joined) > MEMO_PAIRS:
-        joined.clear()
+                heappush(ranks, rank)
     left = np.asarray(symbols)
     live = left >= 0
     counts = np.concatenate([[0], np.cumsum(live)])[np.concatenate([[0], ends])].tolist()
@@ -137,28 +152,32 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.merges, self.split = merges_of(path), _splitter(pattern).findall
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = Memo(lambda keys: self._encoded([chunk_of(k) for k in keys]), MEMO_CHUNKS)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        parts = [self.split(c) for c in chunks]
         if len(self.words) > MEMO_WORDS:
-            self.words = {}
-        if len(self.chunks) > MEMO_CHUNKS:
-            self.chunks = {}
-        # a word with the one blank or line break before it splits alike wherever it stands
-        cut = [[" " + w if w[:1] != "\n" else w for w in t.replace("\n", " \n").split(" ")] if regular(t) else None for t in texts]
-        for chunks, t in zip(cut, texts, strict=True):
-            if chunks:
-                chunks[0] = t[: len(chunks[0]) - 1]
-        known = self.chunks
-        new = list({c for chunks in cut if chunks for c in chunks if c not in known} | {t for t, c in zip(texts, cut, strict=True) if c is None and t})
-        parts = [self.split(c) for c in new]
+            self.words = {w: self.words[w] for p in parts for w in p if w in self.words}
         words = self.words
         fresh = list({w for p in parts for w in p if w not in words})
-        made = {w: np.asarray(ids, dtype="<u4").tobytes() for w, ids in zip(fresh, replay([w.encode("utf-8", "replace") for w in fresh], self.merges), strict=True)}
-        local = {c: b"".join([made[w] if w in made else words[w] for w in p]) for c, p in zip(new, parts, strict=True)}
-        out = [b"".join([known[c] if c in known else local[c] for c in chunks]) if chunks else local.get(t, b"") for chunks, t in zip(cut, texts, strict=True)]
-        words.update((w, v) for w, v in made.items() if len(w) <= MEMO_CHARS)
-        known.update((c, v) for c, v in local.items() if len(c) <= MEMO_CHARS)
+        made = replay([w.encode("utf-8", "replace") for w in fresh], self.merges)
+        words.update((w, np.asarray(ids, dtype="<u4").tobytes()) for w, ids in zip(fresh, made, strict=True))
+        out = [words[p[0]] if len(p) == 1 else b"".join(map(words.__getitem__, p)) for p in parts]
+        for word in fresh:
+            if len(word) > MEMO_CHARS:
+                del words[word]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [k for k, t in enumerate(texts) if regular(t)]
+        other = [k for k, t in enumerate(texts) if t and not regular(t)]
+        out = [b""] * len(texts)
+        for k, ids in zip(other, self._encoded([texts[k] for k in other]), strict=True):
+            out[k] = ids
+        cut = [chunk_keys(texts[k]) for k in plain]
+        known = self.chunks.of(cut)
+        for k, keys in zip(plain, cut, strict=True):
+            out[k] = b"".join(map(known.__getitem__, keys))
         return out
 
     def decode(self, ids: bytes) -> bytes:

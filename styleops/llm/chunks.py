@@ -18,7 +18,7 @@ MEMO_CHUNKS = 1_000_000
 MEMO_CHARS = 48
 #: Chunks joined into one call of the library.
 JOINED = 256
-ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 @lru_cache(maxsize=4)
@@ -50,15 +50,16 @@ def encode_joined(path: str, chunks: Sequence[str]) -> list[bytes]:
 class Memo:
     """Values of chunks, made for all the unknown chunks of a batch at once; long ones are forgotten after it."""
 
-    def __init__(self, make: Callable[[list], list]):
-        self.make, self.kept, self.long = make, {}, []
+    def __init__(self, make: Callable[[list], list], limit: int = MEMO_CHUNKS):
+        self.make, self.limit, self.kept, self.long = make, limit, {}, []
 
     def of(self, batch: list[list]) -> dict:
-        if len(self.kept) > MEMO_CHUNKS:
-            self.kept, self.long = {}, []
         for chunk in self.long:
             del self.kept[chunk]
-        new = list(set().union(*batch).difference(self.kept))
+        now = set().union(*batch)
+        if len(self.kept) > self.limit:  # the frequent ones are in this batch too
+            self.kept = {c: self.kept[c] for c in now.intersection(self.kept)}
+        new = list(now.difference(self.kept))
         self.kept.update(zip(new, self.make(new), strict=True))
         self.long = [c for c in new if len(c) > MEMO_CHARS]
         return self.kept
@@ -101,6 +102,15 @@ def regular(text: str) -> bool:
     )
 
 
+def chunk_keys(text: str) -> list[str]:
+    """The chunks of a regular text, the blank before each left out; the first one is marked by a NUL."""
+    return ("\0" + text.replace("\n", " \n")).split(" ")
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
+
 def encode_texts(path: str, texts: Sequence[str]) -> list[bytes]:
     """Little-endian 32-bit ids of each text by a byte-level tokenizer, without added special tokens."""
     out: list[bytes] = [b""] * len(texts)
