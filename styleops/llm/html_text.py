@@ -141,15 +141,10 @@ def _digest(*parts: str) -> str:
     return hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=12).hexdigest()
 
 
-def prefixes(path: str) -> list[str]:
-    parts = path.split("/")
-    return ["/".join(parts[:k]) for k in range(2, len(parts) + 1)]
-
-
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How many pages of a batch show each feature of each node of their site's tree.
 
-    Kind ``s``: the sequence of a node's children; kind ``t``: a text below a node; kind ``p``: the page.
+    Kind ``s``: the sequence of a node's children; kind ``t``: a text of the node itself; kind ``p``: the page.
     """
     for rows in batches:
         counts: Counter = Counter()
@@ -160,8 +155,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 own.add((path, "p", ""))
             for path, noise, text in tree.blocks:
                 if not noise:
-                    key = _digest(text)
-                    own.update((node, "t", key) for node in prefixes(path))
+                    own.add((path, "t", _digest(text)))
             for node, kind, key in own:
                 counts[host, node, kind, key] += 1
                 counts[ALL_HOSTS, node, kind, key] += 1
@@ -197,8 +191,8 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def main_text(html: str, noisy: frozenset[str]) -> str:
-    """The blocks of a page that lie in no noisy branch, one on each line."""
-    keep = [text for path, noise, text in tree_of(html).blocks if not noise and not (noisy and any(p in noisy for p in prefixes(path)))]
+    """The blocks of a page that hang on no noisy branch, one on each line."""
+    keep = [text for path, noise, text in tree_of(html).blocks if not noise and path not in noisy]
     return "\n".join(keep)
 
 

@@ -93,6 +93,8 @@ def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     repeated = (np.bincount(group) > 1) | (np.bincount(group, weights=several[order]) > 0)
     keep = repeated[group]
     of, lead = order[keep], first[group[keep]]
+    if not len(of):
+        return pd.DataFrame(columns=["cell", "keys", "cells", "places"])
     by_cell = np.argsort(cells[of], kind="stable")
     of, lead = of[by_cell], lead[by_cell]
     names, starts = np.unique(cells[of], return_index=True)
