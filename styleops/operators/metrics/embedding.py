@@ -51,11 +51,10 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def extrema(m: np.ndarray) -> np.ndarray:
-    """Per dimension the largest value, or the smallest where that is further from zero."""
-    high, low = m.max(axis=0), m.min(axis=0)
-    positive = (low > 0) & ((high > low) | (high < -low))
-    negative = (low < 0) & ((high < low) | (high > -low))
-    return np.where(positive | negative, high, low)
+    """Per dimension the extreme that is further from zero; the smallest on a tie, or if it is zero."""
+    most, least = m.max(axis=0), m.min(axis=0)
+    nearer = (least < 0) & (-least < most)
+    return np.where(nearer | (least > 0), most, least)
 
 
 def greedy(hc: np.ndarray, h: np.ndarray, rc: np.ndarray, r: np.ndarray) -> float:

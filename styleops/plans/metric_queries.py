@@ -330,8 +330,7 @@ view(
 )
 view(
     "v_extrema",
-    """SELECT pair_id, ref_no, d, s, CASE WHEN ((hi > lo OR hi < -lo) AND lo > 0)
-      OR ((hi < lo OR hi > -lo) AND lo < 0) THEN hi ELSE lo END AS e FROM v_dims""",
+    "SELECT pair_id, ref_no, d, s, CASE WHEN lo > 0 OR (lo < 0 AND -lo < hi) THEN hi ELSE lo END AS e FROM v_dims",
 )
 
 

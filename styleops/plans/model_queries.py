@@ -639,7 +639,8 @@ def discover_refs(spark, sf):
 
 def _stream_lines(spark, sf):
     schema = V.table(spark, sf, "documents").schema
-    return ST.stream_lines(spark, sf, "parquet", schema, pathGlobFilter="documents.parquet")
+    # as a pattern the path may name one file as well as a folder of part files
+    return ST.stream_lines(spark, f"{sf}/[d]ocuments.parquet", "parquet", schema)
 
 
 @register("stream_lines", "SELECT row_id, txt FROM v_doc_lines")
@@ -651,7 +652,7 @@ def stream_lines(spark, sf):
 def stream_tag(spark, sf):
     """Documents arrive as a stream and are styled by a join with the fixed labels."""
     corpus = V.quality_of(_stream_lines(spark, sf), V.table(spark, sf, "labels"))
-    return ST.run_available(ST.stream_tag(corpus, V.lexicon(spark, sf)), "tagged")
+    return ST.run_available(corpus, "tagged", ST.stream_tag(V.lexicon(spark, sf)))
 
 
 view("v_lt", f"SELECT row_id, {tokens('txt')} || ['<eos>'] AS t FROM v_doc_lines")
@@ -665,5 +666,5 @@ view("v_lt", f"SELECT row_id, {tokens('txt')} || ['<eos>'] AS t FROM v_doc_lines
 )
 def stream_prepare(spark, sf):
     lines = V.lines_of(_stream_lines(spark, sf))
-    done = ST.run_available(ST.stream_prepare(lines, V.vocab(spark, sf)), "prepared")
+    done = ST.run_available(lines, "prepared", ST.stream_prepare(V.vocab(spark, sf)))
     return done.select("row_id", ids_text("ids").alias("ids"))

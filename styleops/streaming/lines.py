@@ -2,70 +2,58 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from styleops.functions import text
-from styleops.operators.tagging import lexicon_literal, tag_inline
-from styleops.operators.vocab import UNK
-from styleops.session import scratch_path
+from styleops.operators.tagging import tag_sentences
+from styleops.operators.vocab import encode_ids, weighted
+from styleops.session import checkpointed, scratch_path
 
-VOCAB_ROWS = 50_000
+Step = Callable[[DataFrame], DataFrame]
 
 
-def stream_lines(spark: SparkSession, folder: str, fmt: str = "text", schema: StructType | None = None, **options) -> DataFrame:
-    """A stream of the files that arrive in a folder."""
+def stream_lines(spark: SparkSession, path: str, fmt: str = "text", schema: StructType | None = None, **options) -> DataFrame:
+    """A stream of the files that arrive in a folder, or of one file."""
     reader = spark.readStream.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(folder)
+    return reader.load(path)
 
 
-def stream_tag(corpus: DataFrame, lexicon: DataFrame, seed: int = 0, **options) -> DataFrame:
-    """Tag a stream ``row_id, txt, style, split`` with a fixed lexicon of checked size."""
-    return tag_inline(corpus, lexicon_literal(lexicon), seed, **options)
+def stream_tag(lexicon: DataFrame, seed: int = 0, **options) -> Step:
+    """A step for batches ``row_id, txt, style, split``: tag them with a fixed lexicon of any size."""
+    lexicon = checkpointed(lexicon)
+    return lambda batch: tag_sentences(batch, lexicon, seed, **options)
 
 
-def id_lookup(vocab: DataFrame) -> tuple[Column, int]:
-    """The vocabulary as a constant array of small maps, addressed by hash."""
-    rows = vocab.select("token", "id").limit(VOCAB_ROWS + 1).collect()
-    if len(rows) > VOCAB_ROWS:
-        raise ValueError(f"more than {VOCAB_ROWS} tokens; encode in batch form")
-    buckets = 2 * len(rows)
-    placed = vocab.select(
-        F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("b"), "token", "id"
-    ).limit(VOCAB_ROWS)
-    table: list[dict[str, int]] = [{} for _ in range(buckets)]
-    for r in placed.collect():
-        table[r["b"]][r["token"]] = r["id"]
-    return F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>"), buckets
+def stream_prepare(vocab: DataFrame) -> Step:
+    """A step for batches ``row_id, txt``: clean, append the end mark and encode by a vocabulary of any size."""
+    vocab = weighted(vocab)
+    return lambda batch: encode_ids(batch, "row_id", text.append_eos(text.clean_sentence(F.col("txt"))), vocab, "ids")
 
 
-def stream_prepare(lines: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Clean a stream ``row_id, txt``, append the end mark and encode it to ids."""
-    table, buckets = id_lookup(vocab)
+def run_available(stream: DataFrame, name: str, step: Step = lambda batch: batch) -> DataFrame:
+    """Process all that has arrived, batch by batch, and read the result back.
 
-    def find(t: Column) -> Column:
-        slot = F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
-        return F.coalesce(F.try_element_at(F.get(table, slot), t), F.lit(UNK))
-
-    toks = text.ws_tokens(text.append_eos(text.clean_sentence(F.col("txt"))))
-    return lines.select("row_id", F.transform(toks, find).alias("ids"))
-
-
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process all that has arrived, write it to a scratch folder, and read the result back."""
+    A batch is written to a folder of its number, so a repeated one replaces itself.
+    """
     spark = stream.sparkSession
     out = scratch_path(spark, name)
+    schema = step(spark.createDataFrame([], stream.schema)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     query = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", scratch_path(spark, f"{name}-state"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.parquet(out).select(*schema.names)
