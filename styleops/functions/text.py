@@ -148,7 +148,8 @@ def clean_meteor_hyp(txt: Column) -> Column:
 def tokenize_13a(txt: Column) -> Column:
     for old, new in ENTITIES_13A:
         txt = F.replace(txt, F.lit(old), F.lit(new))
-    txt = F.concat(F.lit(" "), F.replace(txt, F.lit("\n"), F.lit(" ")), F.lit(" "))
+    whole = F.replace(txt, F.lit("-\n"), F.lit(""))  # a word parted at a line's end
+    txt = F.concat(F.lit(" "), F.replace(whole, F.lit("\n"), F.lit(" ")), F.lit(" "))
     for pattern, repl in RULES_13A:
         txt = F.regexp_replace(txt, pattern, repl)
     return F.array_join(ws_tokens(txt), " ")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = ["w0", "w1", "w2", "w3", "w4", "w5", "w6", "w7"]
+
+def window(width: int) -> list[str]:
+    """The names of the words of a window."""
+    return [f"w{d}" for d in range(width)]
 
 
 def explode_windows(rows: DataFrame, keep: list[str], tokens: Column, width: int) -> DataFrame:
@@ -14,7 +17,7 @@ def explode_windows(rows: DataFrame, keep: list[str], tokens: Column, width: int
     The array is zipped with its own successors, so an exploded row carries a few words and never
     the whole array. Words past the end are null.
     """
-    names = WINDOW[:width]
+    names = window(width)
     shifted = [F.slice("_toks", d + 1, F.size("_toks")).alias(n) for d, n in enumerate(names)]
     return (
         rows.select(*keep, tokens.alias("_toks"))
@@ -27,8 +30,8 @@ def explode_ngrams(rows: DataFrame, keep: list[str], tokens: Column, low: int, h
     """One row for each n-gram: ``keep``, ``n``, ``gram``."""
     sized = [
         F.when(
-            F.col(WINDOW[n - 1]).isNotNull(),
-            F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *WINDOW[:n]).alias("gram")),
+            F.col(f"w{n - 1}").isNotNull(),
+            F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *window(n)).alias("gram")),
         )
         for n in range(low, high + 1)
     ]

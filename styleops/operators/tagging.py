@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from styleops.functions import text
 from styleops.functions.draws import hash_uniform
 from styleops.operators import scale
-from styleops.operators.ngrams import WINDOW, explode_windows
+from styleops.operators.ngrams import explode_windows, window
 from styleops.session import checkpointed
 
 MAX_N = 4
@@ -34,7 +34,7 @@ def phrase_candidates(corpus: DataFrame, max_n: int = MAX_N) -> DataFrame:
     toks = text.ws_tokens(text.clean_sentence(F.col("txt")))
     at = explode_windows(corpus, ["style", "row_id"], toks, max_n)
     sized = [
-        F.struct(F.lit(k).alias("k"), F.concat_ws(" ", *WINDOW[:k]).alias("phrase"))
+        F.struct(F.lit(k).alias("k"), F.concat_ws(" ", *window(k)).alias("phrase"))
         for k in range(1, max_n + 1)
     ]
     return at.select("style", "row_id", "i", F.explode(F.array(*sized)).alias("c")).select(

@@ -89,7 +89,7 @@ scalar(
 def sql_13a(x: str) -> str:
     for old, new in text.ENTITIES_13A:
         x = f"replace({x}, '{old}', '{new}')"
-    x = f"(' ' || replace({x}, chr(10), ' ') || ' ')"
+    x = f"(' ' || replace(replace({x}, '-' || chr(10), ''), chr(10), ' ') || ' ')"
     for pattern, repl in text.RULES_13A:
         x = f"regexp_replace({x}, '{pattern}', '{repl.replace('$', chr(92))}', 'g')"
     return f"array_to_string({tokens(x)}, ' ')"
