@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.chunks import MEMO_CHARS, Memo, chunk_keys, chunk_of, regular
+from styleops.llm.chunks import MEMO_CHARS, Memo, chunk_keys, chunk_of, one_word, regular
 from styleops.llm.common import blocks, small_batches, whole_text
 
 #: Texts are gathered into blocks of about this many characters, each replayed at once.
@@ -45,15 +45,15 @@ class Merges:
         return self.joined
 
 
-def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
-    """The ids of each word, merged as the ranks say: lowest rank first, leftmost first.
+def replay(words: list[bytes], merges: Merges) -> list[bytes]:
+    """The ids of each word (little-endian unsigned 32-bit), merged as the ranks say: lowest rank first, leftmost first.
 
     A word that is a token itself is taken whole. The others lie in one row of symbols with links to their
     neighbours. An index from rank to the positions where such a pair starts is worked off in the
     order of ranks; a merge touches only the pairs on its two sides. If a merge makes a pair of a
     lower rank in a word, the word's remaining positions of the present rank wait until that pair is done.
     """
-    out = [[merges.rank[w]] if w in merges.rank else [] for w in words]
+    out = [merges.rank[w].to_bytes(4, "little") if w in merges.rank else b"" for w in words]
     parts = [k for k, ids in enumerate(out) if not ids and words[k]]
     if not parts:
         return out
@@ -127,8 +127,8 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
                 heappush(ranks, rank)
     left = np.asarray(symbols)
     live = left >= 0
-    counts = np.concatenate([[0], np.cumsum(live)])[np.concatenate([[0], ends])].tolist()
-    left = left[live].tolist()
+    counts = (4 * np.concatenate([[0], np.cumsum(live)])[np.concatenate([[0], ends])]).tolist()
+    left = left[live].astype("<u4").tobytes()
     for k, a, b in zip(parts, counts, counts[1:], strict=False):
         out[k] = left[a:b]
     return out
@@ -155,13 +155,12 @@ class Codec:
         self.chunks = Memo(lambda keys: self._encoded([chunk_of(k) for k in keys]), MEMO_CHUNKS)
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        parts = [self.split(c) for c in chunks]
+        parts = [[c] if one_word(c) else self.split(c) for c in chunks]
         if len(self.words) > MEMO_WORDS:
             self.words = {w: self.words[w] for p in parts for w in p if w in self.words}
         words = self.words
         fresh = list({w for p in parts for w in p if w not in words})
-        made = replay([w.encode("utf-8", "replace") for w in fresh], self.merges)
-        words.update((w, np.asarray(ids, dtype="<u4").tobytes()) for w, ids in zip(fresh, made, strict=True))
+        words.update(zip(fresh, replay([w.encode("utf-8", "replace") for w in fresh], self.merges), strict=True))
         out = [words[p[0]] if len(p) == 1 else b"".join(map(words.__getitem__, p)) for p in parts]
         for word in fresh:
             if len(word) > MEMO_CHARS:

@@ -111,6 +111,11 @@ def chunk_of(key: str) -> str:
     return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
 
+def one_word(chunk: str) -> bool:
+    """True for plain letters with at most one blank before them, which no splitter parts."""
+    return chunk.isascii() and (chunk.isalpha() or (chunk[:1] == " " and chunk[1:].isalpha()))
+
+
 def encode_texts(path: str, texts: Sequence[str]) -> list[bytes]:
     """Little-endian 32-bit ids of each text by a byte-level tokenizer, without added special tokens."""
     out: list[bytes] = [b""] * len(texts)
