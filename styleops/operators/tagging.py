@@ -11,6 +11,7 @@ from styleops.functions import text
 from styleops.functions.draws import hash_uniform
 from styleops.operators import scale
 from styleops.operators.ngrams import explode_windows, window
+from styleops.operators.vocab import without_cells
 from styleops.session import checkpointed
 
 MAX_N = 4
@@ -270,13 +271,17 @@ def tag_stats(tagged: DataFrame) -> DataFrame:
 
 
 def mask_tokens(encoded: DataFrame, ids: str, scores: DataFrame, seed: int = 0, mask_id: int = 4) -> DataFrame:
-    """Replace an id by the mask id with the probability its phrase has (``scores``: id, score, cnt)."""
+    """Replace an id by the mask id with the probability its phrase has (``scores``: id, score, cnt).
+
+    A row without ids keeps none.
+    """
     cells = encoded.select("pair_id", F.posexplode(ids).alias("pos", "id"))
     scored = scale.lookup_join(cells, scores, ["id"], weight="cnt", how="left")
     drawn = hash_uniform(F.col("pair_id"), F.col("pos"), seed) < F.col("score")
     new = F.when(drawn, F.lit(mask_id)).otherwise(F.col("id"))
-    return (
+    masked = (
         scored.groupBy("pair_id")
         .agg(F.sort_array(F.collect_list(F.struct("pos", new.alias("id")))).alias("cells"))
         .select("pair_id", F.col("cells.id").alias(ids))
     )
+    return masked.unionByName(without_cells(encoded, "pair_id", F.col(ids), ids, F.array().cast("array<int>")))

@@ -65,16 +65,26 @@ def weighted(vocab: DataFrame) -> DataFrame:
     return written.withColumn("cnt", F.when(F.col("id") < len(SPECIALS), F.lit(total)).otherwise(F.col("cnt")))
 
 
+def without_cells(rows: DataFrame, key: str, cells: Column, name: str, empty: Column) -> DataFrame:
+    """The rows with no token or id; kept apart, since they would meet as one null key in a lookup."""
+    return rows.filter(F.coalesce(F.size(cells), F.lit(0)) <= 0).select(key, empty.alias(name))
+
+
 def encode_ids(rows: DataFrame, key: str, txt: Column, vocab: DataFrame, name: str) -> DataFrame:
-    """``key, name array<int>``; unknown tokens become <unk>. ``vocab`` comes from ``weighted``."""
-    cells = explode_windows(rows, [key], text.ws_tokens(txt), 1).withColumnRenamed("w0", "token")
+    """``key, name array<int>``; unknown tokens become <unk>, a blank or null text has no ids.
+
+    ``vocab`` comes from ``weighted``.
+    """
+    toks = text.ws_tokens(txt)
+    cells = explode_windows(rows, [key], toks, 1).withColumnRenamed("w0", "token")
     found = scale.lookup_join(cells, vocab.select("token", "id", "cnt"), ["token"], "cnt", "left")
     cell = F.struct("i", F.coalesce("id", F.lit(UNK)).alias("id"))
-    return (
+    ids = (
         found.groupBy(key)
         .agg(F.sort_array(F.collect_list(cell)).alias("cells"))
         .select(key, F.col("cells.id").alias(name))
     )
+    return ids.unionByName(without_cells(rows, key, toks, name, F.array().cast("array<int>")))
 
 
 def encode_pairs(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -86,16 +96,17 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def decode_ids(encoded: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
-    """``key, txt``: tokens joined by a space, without <sos> and <eos>."""
+    """``key, txt``: tokens joined by a space, without <sos> and <eos>; no ids give an empty text."""
     vocab = weighted(vocab)
     cells = encoded.select(key, F.posexplode(ids).alias("i", "id"))
     found = scale.lookup_join(cells, vocab.select("id", "token", "cnt"), ["id"], "cnt", "left")
     token = F.when(~F.col("id").isin(SOS, EOS), F.col("token"))
-    return (
+    decoded = (
         found.groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("i", token.alias("token")))).alias("cells"))
         .select(key, F.array_join(F.array_compact(F.col("cells.token")), " ").alias("txt"))
     )
+    return decoded.unionByName(without_cells(encoded, key, F.col(ids), "txt", F.lit("")))
 
 
 def oov_rate(encoded: DataFrame, ids: str, group: str) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Null texts, pairs without references, wide n-grams, parted words."""
+"""Null and blank texts, pairs without references, wide n-grams, parted words."""
 
 from pyspark.sql import functions as F
 
 from styleops.functions import text
+from styleops.operators import tagging as T
+from styleops.operators import vocab as V
 from styleops.operators.metrics.rouge import rouge_l
 from styleops.operators.ngrams import explode_ngrams
 
@@ -22,3 +24,15 @@ def test_ngrams_of_any_width(spark):
 def test_13a_joins_a_word_parted_at_a_line_end(spark):
     df = spark.createDataFrame([("well-\nknown\nfact.",)], "txt string")
     assert df.select(text.tokenize_13a(F.col("txt")).alias("x")).first().x == "wellknown fact ."
+
+
+def test_rows_without_tokens_stay(spark):
+    vocab = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*V.SPECIALS, "a"])], "id int, token string, cnt long")
+    rows = spark.createDataFrame([(1, "a b a"), (2, " "), (3, None), (4, "")], "pair_id long, txt string")
+    ids = V.encode_ids(rows, "pair_id", F.col("txt"), V.weighted(vocab), "ids")
+    assert sorted(map(tuple, ids.collect())) == [(1, [5, V.UNK, 5]), (2, []), (3, []), (4, [])]
+    back = V.decode_ids(ids, "pair_id", "ids", vocab)
+    assert sorted(map(tuple, back.collect())) == [(1, "a <unk> a"), (2, ""), (3, ""), (4, "")]
+    scores = spark.createDataFrame([(5, 1.0, 1)], "id int, score double, cnt long")
+    masked = T.mask_tokens(ids, "ids", scores)
+    assert sorted(map(tuple, masked.collect())) == [(1, [V.GMASK, V.UNK, V.GMASK]), (2, []), (3, []), (4, [])]
