@@ -188,18 +188,24 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit ids of each whole text; a null text has none.
 
-    Every row gives a row; ids may be null or repeat; other columns are not read.
+    With ``decoded``, also the bytes that the ids stand for, made by the same worker: a UDF behind this
+    one would give each running task a second Python process. Every row gives a row; ids may be null or
+    repeat; other columns are not read.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = codec(path, pattern)
         for rows in blocks(batches, "norm", BLOCK_CHARS):
-            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "ids": codec(path, pattern).encode(rows["norm"].tolist())})
+            ids = coder.encode(rows["norm"].tolist())
+            made = {"doc_id": rows["doc_id"].astype("Int64"), "ids": ids}
+            yield pd.DataFrame(made | {"decoded": list(map(coder.decode, ids))} if decoded else made)
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("norm")).mapInPandas(run, "doc_id long, ids binary")
+    fields = "doc_id long, ids binary" + ", decoded binary" * decoded
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("norm")).mapInPandas(run, fields)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -49,7 +49,7 @@ def op8_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf, "documents"), path, pattern), path, pattern)
+    coded = byte_bpe.encode(table(spark, sf, "documents"), path, pattern, decoded=True)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

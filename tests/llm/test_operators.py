@@ -161,6 +161,8 @@ def test_byte_bpe_equals_the_library(spark, odd, none):
     rows = byte_bpe.decode(byte_bpe.encode(odd, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in rows) == sorted((t or "").encode() for _, t in ODD)
     assert sorted(bytes(r.ids) for r in rows) == sorted(np.asarray(library.encode_ordinary(t or ""), "<u4").tobytes() for _, t in ODD)
+    both = byte_bpe.encode(odd, RANKS, P.PATTERN, decoded=True).collect()
+    assert sorted((bytes(r.ids), bytes(r.decoded)) for r in both) == sorted((bytes(r.ids), bytes(r.decoded)) for r in rows)
     assert byte_bpe.encode(none, RANKS, P.PATTERN).count() == 0
 
 
