@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from styleops.functions.draws import hash_uniform
 from styleops.operators import scale
 from styleops.operators.vocab import PAD
-from styleops.session import checkpointed
 
 BATCH = ["shard", "batch_no"]
 
@@ -22,7 +21,7 @@ def length_buckets(rows: DataFrame, key: str, length: str, batch_size: int = 128
 
     Numbering is distributed, so one length may hold any share of the rows.
     """
-    placed = checkpointed(scale.ordered_index(rows, [F.col(key)], "at", [length]))
+    placed = scale.ordered_index(rows, [F.col(key)], "at", [length])
     sizes = placed.groupBy(length).agg(
         (F.floor(F.count(F.lit(1)) / batch_size) + 1).alias("n_batches")
     )
@@ -69,7 +68,7 @@ def pack_batches(
 
     return (
         samples.select(shard_of(F.col("pair_id"), shards, seed).alias("shard"), "pair_id", "src_len", "tgt_len")
-        .repartition(shards, "shard")
+        .repartitionById(shards, F.col("shard"))
         .sortWithinPartitions("shard", "pair_id")
         .mapInPandas(pack, "shard int, batch_no int, pos int, pair_id long")
     )

@@ -86,8 +86,11 @@ def mean_tfidf(weights: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def style_stats(corpus: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
-    """Term statistics of each style of the corpus, as in ``mean_tfidf``."""
-    tf = term_frequencies(corpus, low, high)
+    """Term statistics of each style of the corpus, as in ``mean_tfidf``.
+
+    The counts of each row are written once, laid out by row, for the idf and for the weights.
+    """
+    tf = checkpointed(term_frequencies(corpus, low, high))
     idf = checkpointed(doc_freq_idf(tf, corpus))
     return mean_tfidf(tfidf_weights(tf, idf), corpus)
 
@@ -154,9 +157,7 @@ def pct_rank_average(rows: DataFrame, group: str, value: str, tiebreak: str) ->
 
     Places come from a distributed ordering; a tie's rank is the middle of its first and last place.
     """
-    placed = checkpointed(
-        scale.ordered_index(rows, [F.col(value), F.col(tiebreak)], "_at", [group], start=1)
-    )
+    placed = scale.ordered_index(rows, [F.col(value), F.col(tiebreak)], "_at", [group], start=1)
     ties = checkpointed(
         placed.groupBy(group, value).agg(
             ((F.min("_at") + F.max("_at")) / 2).alias("_mid"), F.count(F.lit(1)).alias("_n")

@@ -9,6 +9,7 @@ from styleops.functions import text
 from styleops.operators.corpus import keep_tagged
 from styleops.operators.lexicon import build_lexicon
 from styleops.operators.tagging import tag_sentences
+from styleops.session import checkpointed
 
 
 def rename_val_dev(split: Column) -> Column:
@@ -63,12 +64,13 @@ def style_parallel_corpus(
 ) -> DataFrame:
     """From a labelled corpus to the training pairs of both models.
 
-    Pass ``lexicon`` (for example read back from a file) to skip mining it.
+    Pass ``lexicon`` (for example read back from a file) to skip mining it. The tagged rows are
+    written once, since both kinds of pairs are made of them.
     """
     both = corpus.filter(F.col("style").isin(*styles))
     if lexicon is None:
         lexicon = build_lexicon(both, styles, ngram_range, thresh=thresh)
-    kept = keep_tagged(tag_sentences(both, lexicon, seed))
+    kept = checkpointed(keep_tagged(tag_sentences(both, lexicon, seed)))
     return pairs_of(kept, styles, unimodal)
 
 

@@ -14,6 +14,7 @@ from styleops.functions.text import let
 from styleops.session import checkpointed
 
 QUERIES_PER_PASS = 2_000
+ROWS_PER_PRODUCT = 2_000
 
 
 def norm(vec: Column) -> Column:
@@ -31,21 +32,23 @@ def _pass(table: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFrame:
     """Each task keeps its k best rows per query; only those are shuffled."""
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in ids]
+        top = pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64", "score": "float64"})
+        numbers = np.asarray(ids, dtype="int64")
         for frame in frames:
-            if len(frame) == 0:
-                continue
-            keys = frame["id"].to_numpy()
-            scores = matrix @ np.stack(frame["vec"].to_numpy()).T
-            for q in range(len(ids)):
-                s = np.concatenate([top[q][0], scores[q]])
-                n = np.concatenate([top[q][1], keys])
-                keep = np.lexsort((n, -np.round(s, 9)))[:k]
-                top[q] = (s[keep], n[keep])
-        for q, (s, n) in zip(ids, top):
-            yield pd.DataFrame({"query": q, "id": n, "score": s}).astype(
-                {"query": "int64", "id": "int64", "score": "float64"}
-            )
+            for at in range(0, len(frame), ROWS_PER_PRODUCT):
+                part = frame.iloc[at : at + ROWS_PER_PRODUCT]
+                scores = matrix @ np.stack(part["vec"].to_numpy()).T
+                places = np.round(scores, 9)
+                if len(part) > k:  # all rows as good as the k-th stay until equals are put in order
+                    least = np.partition(places, len(part) - k, axis=1)[:, len(part) - k]
+                    q, r = np.nonzero(places >= least[:, None])
+                else:
+                    q, r = (x.ravel() for x in np.indices(scores.shape))
+                found = pd.DataFrame({"query": numbers[q], "id": part["id"].to_numpy()[r], "score": scores[q, r]})
+                both = pd.concat([top, found], ignore_index=True)
+                order = np.lexsort((both["id"], -both["score"].round(9), both["query"]))
+                top = both.iloc[order].groupby("query", sort=False).head(k)
+        yield top
 
     return table.mapInPandas(best, "query long, id long, score double")
 

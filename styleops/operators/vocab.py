@@ -41,7 +41,7 @@ def build_vocab(
         .agg(F.count(F.lit(1)).alias("cnt"), seen)
         .filter(F.col("cnt") >= min_freq)
     )
-    placed = checkpointed(scale.ordered_index(counts, [F.desc("cnt"), F.desc("seen")], "at"))
+    placed = scale.ordered_index(counts, [F.desc("cnt"), F.desc("seen")], "at")
     if max_size is not None:
         placed = placed.filter(F.col("at") < max_size)
     # a data token that equals a special symbol takes no id of its own: at most five rows
