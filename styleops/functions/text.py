@@ -111,8 +111,10 @@ def metric_ngrams(tokens: Column, high: int = 4) -> Column:
     )
 
 
-def remove_tags(txt: Column, label: str) -> Column:
-    return F.regexp_replace(txt, rf"\[\Q{label}\E[0-9]*\]", "")
+def remove_tags(txt: Column, label: Column | str) -> Column:
+    """Without the tags of a label, which may differ from row to row."""
+    label = label if isinstance(label, Column) else F.lit(label)
+    return F.regexp_replace(txt, F.concat(F.lit(r"\[\Q"), label, F.lit(r"\E[0-9]*\]")), F.lit(""))
 
 
 def squeeze_spaces(txt: Column) -> Column:

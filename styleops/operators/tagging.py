@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ from styleops.session import checkpointed
 MAX_N = 4
 POS_WEIGHT = 3
 MAX_POS = 20
-INLINE_PHRASES = 20_000
 SALTS = 16
 
 
@@ -110,110 +109,6 @@ def tagged_text(
     return F.when(F.size(toks) == 0, F.lit("")).otherwise(text.let(picked, assemble))
 
 
-def inline_hits(
-    toks: Column,
-    row_id: Column,
-    style: Column,
-    lookup: Column,
-    firsts: Column,
-    buckets: int,
-    longest: int,
-    seed: int,
-    max_n: int,
-) -> Column:
-    """Hits of one row from a lexicon held as a literal hash table; no join and no shuffle.
-
-    Windows are tried only where the word starts some phrase. A window wider than the longest
-    phrase can only match where the sentence end cuts it short.
-    """
-
-    def slot(key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-    def widest(i: Column) -> Column:
-        found = F.lit(0)
-        for k in range(1, max_n + 1):
-            phrase = F.concat_ws(" ", style, F.slice(toks, i + 1, k))
-            score = text.let(
-                phrase,
-                lambda p: F.try_element_at(F.get(lookup, slot(p)), p),
-            )
-            drawn = text.let(
-                score, lambda s: F.when(s.isNotNull(), hash_uniform(row_id, i, F.lit(k), seed) < s)
-            )
-            if k > longest:
-                drawn = (F.size(toks) - i <= longest) & drawn
-            found = F.when(drawn, F.lit(k)).otherwise(found)
-        return found
-
-    def starts(i: Column) -> Column:
-        word = F.concat_ws(" ", style, F.get(toks, i))
-        return text.let(word, lambda w: F.array_contains(F.get(firsts, slot(w)), w))
-
-    at = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(toks) - 1), starts),
-        lambda i: F.struct(i.alias("i"), widest(i).alias("k")),
-    )
-    return F.when(
-        F.size(toks) > 0, F.filter(at, lambda h: h["k"] > 0)
-    ).otherwise(F.array().cast("array<struct<i:int,k:int>>"))
-
-
-def lexicon_literal(lexicon: DataFrame) -> tuple[Column, Column, int, int]:
-    """A lexicon of checked size as constants: phrases with scores and phrase starts, by hash."""
-    phrase = F.concat_ws(" ", "main_style", "term")
-    start = F.concat_ws(" ", "main_style", F.substring_index("term", " ", 1))
-    rows = lexicon.select(phrase.alias("p"), start.alias("f"), "score").limit(INLINE_PHRASES + 1).collect()
-    if len(rows) > INLINE_PHRASES:
-        raise ValueError(f"more than {INLINE_PHRASES} phrases; use the join form")
-    buckets = max(1, 2 * len(rows))
-
-    def slot(name: str) -> Column:
-        return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
-
-    frame = lexicon.sparkSession.createDataFrame(
-        [(r["p"], r["f"], r["score"]) for r in rows], "p string, f string, score double"
-    )
-    phrases: list[dict[str, float]] = [{} for _ in range(buckets)]
-    firsts: list[list[str]] = [[] for _ in range(buckets)]
-    for r in frame.select(slot("p").alias("at"), slot("f").alias("fat"), "p", "f", "score").collect():
-        phrases[r["at"]][r["p"]] = r["score"]
-        if r["f"] not in firsts[r["fat"]]:
-            firsts[r["fat"]].append(r["f"])
-    longest = max((len(r["p"].split(" ")) - 1 for r in rows), default=1)
-    return (
-        F.from_json(F.lit(json.dumps(phrases)), "array<map<string,double>>"),
-        F.from_json(F.lit(json.dumps(firsts)), "array<array<string>>"),
-        buckets,
-        longest,
-    )
-
-
-def tag_inline(
-    corpus: DataFrame,
-    table: tuple[Column, Column, int, int],
-    seed: int = 0,
-    concat: bool = True,
-    max_n: int = MAX_N,
-    pos_weight: int = POS_WEIGHT,
-    max_pos: int = MAX_POS,
-) -> DataFrame:
-    """Tag rows one by one against a constant lexicon; works on batch and streaming frames."""
-    orig = text.clean_sentence(F.col("txt"))
-
-    def body(toks: Column) -> Column:
-        hits = inline_hits(toks, F.col("row_id"), F.col("style"), *table, seed, max_n)
-        return tagged_text(toks, hits, F.col("style"), concat, pos_weight, max_pos)
-
-    return corpus.filter(F.col("txt").isNotNull()).select(
-        "row_id",
-        "style",
-        "split",
-        orig.alias("orig"),
-        text.let(text.ws_tokens(orig), body).alias("tagged"),
-    )
-
-
 def tag_by_join(
     corpus: DataFrame,
     lexicon: DataFrame,
@@ -223,7 +118,7 @@ def tag_by_join(
     pos_weight: int = POS_WEIGHT,
     max_pos: int = MAX_POS,
 ) -> DataFrame:
-    """Tag through a distributed lookup, for a lexicon too large to hold in every task."""
+    """Tag through a distributed lookup, whatever the size of the lexicon."""
     # candidates meet the lexicon where the text is read; only the drawn hits and, unless the
     # hits turn out small enough to broadcast, the text are shuffled, once each
     rows = corpus.filter(F.col("txt").isNotNull())
@@ -270,13 +165,16 @@ def tag_stats(tagged: DataFrame) -> DataFrame:
     )
 
 
-def mask_tokens(encoded: DataFrame, ids: str, scores: DataFrame, seed: int = 0, mask_id: int = 4) -> DataFrame:
-    """Replace an id by the mask id with the probability its phrase has (``scores``: id, score, cnt).
+def mask_tokens(
+    encoded: DataFrame, ids: str, scores: DataFrame, seed: int = 0, mask_id: int = 4, by: Sequence[str] = ()
+) -> DataFrame:
+    """Replace an id by the mask id with the probability its phrase has (``scores``: *by, id, score, cnt).
 
-    A row without ids keeps none.
+    ``by`` names columns of both tables, such as the style, that have to agree. A row without ids keeps none.
     """
-    cells = encoded.select("pair_id", F.posexplode(ids).alias("pos", "id"))
-    scored = scale.lookup_join(cells, scores, ["id"], weight="cnt", how="left")
+    keys = [*by, "id"]
+    cells = encoded.select("pair_id", *by, F.posexplode(ids).alias("pos", "id"))
+    scored = scale.lookup_join(cells, scores, keys, weight="cnt", how="left")
     drawn = hash_uniform(F.col("pair_id"), F.col("pos"), seed) < F.col("score")
     new = F.when(drawn, F.lit(mask_id)).otherwise(F.col("id"))
     masked = (

@@ -296,11 +296,9 @@ def tag_stats(spark, sf):
     return stats.withColumn("tags_per_sentence", F.round("tags_per_sentence", 6))
 
 
-@register("remove_tags", f"SELECT row_id, {untag('tagged', 'style')} AS value FROM v_tagged0 WHERE style = 'q1'")
+@register("remove_tags", f"SELECT row_id, {untag('tagged', 'style')} AS value FROM v_tagged0")
 def remove_tags(spark, sf):
-    return C.filter_style(V.tagged(spark, sf), "q1").select(
-        "row_id", text.remove_tags(F.col("tagged"), "q1").alias("value")
-    )
+    return V.tagged(spark, sf).select("row_id", text.remove_tags(F.col("tagged"), F.col("style")).alias("value"))
 
 
 @register("swap_tags", "SELECT row_id, replace(tagged, 'q0', 'q1') AS value FROM v_tagged0")

@@ -14,6 +14,8 @@ from styleops.operators.metrics import rouge as RG
 from styleops.plans import views as V
 from styleops.plans.lexicon_queries import sql_13a
 from styleops.plans.oracle_base import query, rstrip, tokens, view
+from styleops.session import scratch_path
+from styleops.sources import files as S
 
 QUERIES = {}
 ORACLE = {}
@@ -105,6 +107,17 @@ def bleu_corpus(spark, sf):
     return rounded(B.bleu_corpus(B.bleu_stats(V.eval_pairs(spark, sf))), *R.BLEU)
 
 
+@register("evaluate_files", f"SELECT {bleu_list('closest')} FROM v_total")
+def evaluate_files(spark, sf):
+    """Hypotheses and references written as line-aligned files, found by their stem, joined by line and scored."""
+    path = scratch_path(spark, "evaluated")
+    refs = [F.get("refs", F.lit(i)).alias(f"refs{i}") for i in range(2)]
+    S.write_aligned(V.eval_pairs(spark, sf).select("pair_id", "hyp", *refs), [F.col("pair_id")], ["hyp", "refs0", "refs1"], path)
+    found = [S.read_lines(spark, p) for p in S.discover_refs(spark, f"{path}/refs")]
+    pairs = S.read_refs(found, S.read_lines(spark, f"{path}/hyp"))
+    return rounded(B.bleu_corpus(B.bleu_stats(pairs)), *R.BLEU)
+
+
 @register("bleu_sentence", f"SELECT pair_id, {bleu_list('closest')} FROM v_bstats")
 def bleu_sentence(spark, sf):
     return rounded(B.bleu_sentence(B.bleu_stats(V.eval_pairs(spark, sf))), *R.BLEU)

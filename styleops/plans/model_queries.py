@@ -10,12 +10,14 @@ from styleops.operators import batching as BA
 from styleops.operators import bpe as BP
 from styleops.operators import corpus as C
 from styleops.operators import nbest as NB
+from styleops.operators import parallel as P
 from styleops.operators import scale
 from styleops.operators import tagging as T
 from styleops.operators import vectors as VE
 from styleops.operators import vocab as VO
 from styleops.plans import views as V
-from styleops.plans.oracle_base import draw, query, squeeze, tokens, untag, view
+from styleops.plans.lexicon_queries import pair_sql
+from styleops.plans.oracle_base import draw, query, rstrip, squeeze, tokens, untag, view
 from styleops.session import scratch_path
 from styleops.sources import files as S
 from styleops.streaming import lines as ST
@@ -266,31 +268,36 @@ def pad_mask(spark, sf):
 
 @register(
     "drop_consecutive_duplicates",
-    """SELECT pair_id, n FROM (SELECT pair_id, pos, n, lag(n) OVER (PARTITION BY shard, batch_no ORDER BY pos) AS before
-      FROM v_packed JOIN (SELECT pair_id, len(t) AS n FROM v_tgtt) USING (pair_id) WHERE batch_no >= 0)
-    WHERE before IS NULL OR n <> before""",
+    f"""SELECT pair_id, tgt_ids FROM (
+      SELECT pair_id, pos, tgt_ids, lag(tgt_ids) OVER (PARTITION BY shard, batch_no ORDER BY pos) AS before
+      FROM v_packed JOIN ({ids_sql("v_tgt", "tgt_ids")}) USING (pair_id) WHERE batch_no >= 0)
+    WHERE before IS NULL OR tgt_ids <> before""",
 )
 def drop_consecutive_duplicates(spark, sf):
-    """On the target lengths, which repeat more often than whole targets do."""
-    rows = _packed(spark, sf).filter("batch_no >= 0").join(
-        _lengths(spark, sf).select("pair_id", F.col("tgt_len").cast("long").alias("n")), "pair_id"
-    )
-    return C.drop_consecutive_duplicates(rows, "n", BA.BATCH, "pos").select("pair_id", "n")
+    targets = V.encoded(spark, sf).select("pair_id", "tgt_ids")
+    rows = _packed(spark, sf).filter("batch_no >= 0").join(targets, "pair_id")
+    kept = C.drop_consecutive_duplicates(rows, "tgt_ids", BA.BATCH, "pos")
+    return kept.select("pair_id", ids_text("tgt_ids").alias("tgt_ids"))
 
 
 @register(
     "mask_tokens",
     f"""SELECT pair_id, string_agg((CASE WHEN {draw('pair_id', 'i', '0')} < score THEN 4 ELSE c.id END)::VARCHAR, ' '
-      ORDER BY i) AS tgt_ids FROM v_tgt c LEFT JOIN (SELECT v.id, max(score) AS score FROM v_lexicon l
-      JOIN v_vocab v ON v.token = l.term GROUP BY v.id) m ON m.id = c.id GROUP BY pair_id""",
+      ORDER BY i) AS tgt_ids FROM v_tgt c JOIN v_tp p USING (pair_id)
+      LEFT JOIN (SELECT (main_style <> 'q1')::INT AS style_ord, v.id, score FROM v_lexicon l
+        JOIN v_vocab v ON v.token = l.term) m ON m.id = c.id AND m.style_ord = p.style_ord GROUP BY pair_id""",
 )
 def mask_tokens(spark, sf):
-    vocab = V.vocab(spark, sf)
-    scores = V.lexicon(spark, sf).withColumnRenamed("term", "token").join(vocab, "token").groupBy("id", "cnt").agg(
-        F.max("score").alias("score")
-    )
-    scores = V.once("mask_scores", spark, sf, lambda: scores)
-    masked = T.mask_tokens(V.encoded(spark, sf), "tgt_ids", scores)
+    """Each target is masked by the phrases of its own style."""
+    style = (F.col("main_style") != V.STYLES[0]).cast("int").alias("style_ord")
+    phrases = V.lexicon(spark, sf).select(style, F.col("term").alias("token"), "score")
+
+    def scored():
+        return phrases.join(V.vocab(spark, sf), "token").select("style_ord", "id", "score", "cnt")
+
+    styles = V.pairs(spark, sf).select("pair_id", "style_ord")
+    targets = V.encoded(spark, sf).join(styles, "pair_id")
+    masked = T.mask_tokens(targets, "tgt_ids", V.once("mask_scores", spark, sf, scored), by=["style_ord"])
     return masked.select("pair_id", ids_text("tgt_ids").alias("tgt_ids"))
 
 
@@ -534,13 +541,29 @@ def write_split_files(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("write_parallel", "SELECT 'tagged' AS target, split, style_ord, pair_id, src, tgt FROM v_tp")
+@register(
+    "write_parallel",
+    f"""SELECT 'tagged' AS target, split, style_ord, pair_id, src, tgt FROM v_tp
+    UNION ALL SELECT target, split, style_ord, pair_id, src, tgt FROM ({pair_sql("generated", "tagged", "orig", True)})""",
+)
 def write_parallel(spark, sf):
     path = scratch_path(spark, "parallel")
-    S.write_parallel(V.pairs(spark, sf), path)
+    S.write_parallel(P.pairs_of(C.keep_tagged(V.tagged(spark, sf)), V.STYLES, False), path)
     return spark.read.parquet(path)
 
 
+@register(
+    "write_aligned",
+    f"""SELECT row_number() OVER (ORDER BY style_ord, pair_id) - 1 AS line_no, {rstrip('src')} AS src,
+      {rstrip('tgt')} AS tgt FROM v_tp""",
+)
+def write_aligned(spark, sf):
+    """Pairs written as two line-aligned text folders and joined again by line number."""
+    path = scratch_path(spark, "aligned")
+    S.write_aligned(V.pairs(spark, sf), [F.col("style_ord"), F.col("pair_id")], ["src", "tgt"], path)
+    return S.read_pairs(*[S.read_lines(spark, f"{path}/{side}") for side in ("src", "tgt")])
+
+
 def _numbered(spark, sf):
     lines = V.pairs(spark, sf).select("style_ord", "pair_id", "src", "tgt")
     return V.once(

@@ -113,11 +113,7 @@ def eval_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """``pair_id, hyp, refs``: text without its tagged phrases against the text itself and a thinned copy."""
 
     def make() -> DataFrame:
-        bare = text.squeeze_spaces(
-            text.squeeze_spaces(
-                F.regexp_replace("tagged", F.concat(F.lit(r"\[\Q"), "style", F.lit(r"\E[0-9]*\]")), F.lit(""))
-            )
-        )
+        bare = text.squeeze_spaces(text.squeeze_spaces(text.remove_tags(F.col("tagged"), F.col("style"))))
         thinned = F.filter(text.ws_tokens(F.col("orig")), lambda t, i: i % 5 != 4)
         return tagged(spark, sf).select(
             F.col("row_id").alias("pair_id"),
@@ -157,7 +153,7 @@ def encoded(spark: SparkSession, sf: str) -> DataFrame:
 
 def hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     """Four hypotheses per line with drawn log probabilities: ``sent_id, hyp_id, tokens, log_p``."""
-    bare = F.regexp_replace("tagged", F.concat(F.lit(r"\[\Q"), "style", F.lit(r"\E[0-9]*\]")), F.lit(""))
+    bare = text.remove_tags(F.col("tagged"), F.col("style"))
     texts = F.array("tagged", "orig", bare, F.concat_ws(" ", "tagged", "tagged"))
     rows = tagged(spark, sf).select(F.col("row_id").alias("sent_id"), F.posexplode(texts).alias("hyp_id", "txt"))
     tokens = F.concat(F.array(F.lit("<sos>")), text.ws_tokens(F.col("txt")), F.array(F.lit("<eos>")))

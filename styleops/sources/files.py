@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,13 +58,15 @@ def _starts(blocks: DataFrame) -> DataFrame:
     )
 
 
-def read_corpus(spark: SparkSession, path: str, label_col: str = "style") -> DataFrame:
-    """A tab-separated corpus with header ``txt, <label>, split``; doubled quotes inside fields."""
-    header = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True).columns
+def read_corpus(spark: SparkSession, path: str, label_col: str = "style", multi_line: bool = False) -> DataFrame:
+    """A tab-separated corpus with header ``txt, <label>, split``; doubled quotes inside fields.
+
+    With ``multi_line`` quoted fields may hold line breaks; each file is then read by one task.
+    """
+    form = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
+    header = spark.read.csv(path, **form).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = spark.read.csv(
-        path, schema=schema, sep="\t", header=True, quote='"', escape='"', multiLine=True
-    )
+    rows = spark.read.csv(path, schema=schema, **form)
     return _numbered(rows, "row_id").select("row_id", "txt", F.col(label_col).alias("style"), "split")
 
 
@@ -176,6 +179,17 @@ def write_parallel(pairs: DataFrame, path: str) -> None:
     )
 
 
+def write_aligned(rows: DataFrame, order: Sequence[Column], sides: Sequence[str], path: str) -> None:
+    """Line-aligned text, the form a trainer reads: one folder for each side, line k of each from the k-th row.
+
+    ``order`` has to be a total order. Line breaks inside a text become a blank, a null an empty line.
+    """
+    placed = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*sides))
+    for side in sides:
+        line = F.regexp_replace(F.coalesce(side, F.lit("")), "[\r\n]+", " ")
+        placed.select(line.alias("value")).write.mode("errorifexists").text(f"{path}/{side}")
+
+
 def vector_columns(line: Column) -> list[Column]:
     parts = text.ws_tokens(line)
     vec = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: x.cast("double"))

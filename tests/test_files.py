@@ -64,3 +64,25 @@ def test_vector_file(spark, tmp_path):
     path.write_text("a 1.0 2.5\nb -1 0\n")
     rows = files.read_vectors(spark, str(path)).orderBy("line_no").collect()
     assert [(r["word"], r["vec"]) for r in rows] == [("a", [1.0, 2.5]), ("b", [-1.0, 0.0])]
+
+
+def test_corpus_with_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "corpus.tsv"
+    path.write_text('txt\tstyle\tsplit\n"two\nlines"\tP_1\ttrain\none\tP_2\ttest\n', encoding="utf-8")
+    rows = files.read_corpus(spark, str(path), multi_line=True).orderBy("row_id").collect()
+    assert [(r["txt"], r["style"]) for r in rows] == [("two\nlines", "P_1"), ("one", "P_2")]
+
+
+def test_aligned_files_come_back_as_pairs(spark, tmp_path):
+    rows = [(k, f"source {k}" if k % 7 else None, f"target\n{k}" if k % 5 else "") for k in range(500)]
+    table = spark.createDataFrame(rows, "k long, src string, tgt string").repartition(4)
+    files.write_aligned(table, [F.col("k")], ["src", "tgt"], str(tmp_path / "out"))
+    sides = [files.read_lines(spark, str(tmp_path / "out" / s)) for s in ("src", "tgt")]
+    back = files.read_pairs(*sides).orderBy("line_no").collect()
+    assert [tuple(r) for r in back] == [(k, a or "", b.replace("\n", " ")) for k, a, b in rows]
+
+
+def test_unequal_counts_of_hypotheses_and_references(spark):
+    lines = [spark.range(n).select(F.col("id").alias("line_no"), F.lit("x").alias("txt")) for n in (3, 4)]
+    with pytest.raises(ValueError):
+        files.read_refs(lines[:1], lines[1])

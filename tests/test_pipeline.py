@@ -17,10 +17,7 @@ def phrases(spark, *terms, style="P_9", score=1.0):
 
 def tag(spark, txt, *terms, **options):
     rows = spark.createDataFrame([(0, txt, "P_9", "train")], CORPUS)
-    by_join = tagging.tag_by_join(rows, phrases(spark, *terms), **options).first()["tagged"]
-    inline = tagging.tag_inline(rows, tagging.lexicon_literal(phrases(spark, *terms)), **options).first()["tagged"]
-    assert by_join == inline
-    return by_join
+    return tagging.tag_by_join(rows, phrases(spark, *terms), **options).first()["tagged"]
 
 
 def test_worked_example(spark):
