@@ -272,6 +272,44 @@ def test_substring_dedup_equals_a_single_pass(spark, sf):
         assert [(s.start, s.end) for s in got[i].removed] == substring_dedup.removed_spans(ends, words, again, substring_dedup.LEAST_WORDS)
 
 
+def test_substring_dedup_finds_passages_inside_sentences(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    run, sentence = " ".join(word() for _ in range(50)), " ".join(word() for _ in range(60))
+    wide = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))
+    own = [" ".join(word() for _ in range(8)) for _ in range(12)]
+    cases = [
+        (1, f"{own[0]} {run} {own[1]}", f"{own[0]} {run} {own[1]}"),
+        (2, f"{own[2]} {run.upper()} {own[3]}. End.", f"{own[2]} {own[3]}. End."),  # pasted into a sentence
+        (3, f"{own[4]}, {sentence}, {own[5]}.", f"{own[4]}, {sentence}, {own[5]}."),
+        (4, f"{own[6]}\n{sentence} {own[7]}", None),  # the last word lacks the comma
+        (5, f"{own[8]}{wide}{own[9]}", f"{own[8]}{wide}{own[9]}"),
+        (6, f"{own[10]}{wide}{own[11]}", f"{own[10]}{own[11]}"),  # no blanks
+        (7, f"{own[0]} {' '.join(run.split()[:49])} x", None),  # 49 words in a row, and 8 more before them
+        (8, " ".join(run.split()[1:]), " ".join(run.split()[1:])),  # 49 words stay
+        (9, " ".join(["la"] * 180), " ".join(["la"] * 50) + " "),  # the earliest occurrence stays whole
+    ]
+    docs = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
+    assert {i: out[i].text for i, _, want in cases if want is not None} == {i: want for i, _, want in cases if want is not None}
+    assert out[4].text == f"{own[6]}\n{sentence.split()[-1]} {own[7]}" and out[7].text == "x"
+    assert all(t[s.start : s.end] for i, t, _ in cases for s in out[i].removed)
+
+
+def test_no_run_of_fifty_words_is_left_twice(spark, sf):
+    got, seen = {r.doc_id: r for r in queries.op1_substring_dedup(spark, sf).collect()}, {}
+    for i, t in sorted(texts(spark, sf).items()):
+        places = [(m.start(), m.end()) for m in substring_dedup.WORDS.finditer(t)]
+        words, gone = [t[a:b].lower() for a, b in places], np.zeros(len(t), bool)
+        for s in got[i].removed:
+            gone[s.start : s.end] = True
+        for k in range(len(words) - 49):
+            e = seen.setdefault(tuple(words[k : k + 50]), (i, k))
+            if e != (i, k):
+                first = max(k, e[1] + 50) if e[0] == i else k
+                assert gone[places[first][0] : places[k + 49][1]].all()
+
+
 def test_html_text(spark, sf):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav>Menu</nav><div class='cookie-notice'>N</div><article><h1>A &amp; B</h1><p>x\n y<br>z<p>second &eacute;<script>var t='</p>'</script></article><div id=comments>c</div><footer>F"
     rows = [(1, "http://a.example/x", page), (2, None, None), (None, "::", ""), (4, "http://b.example", "plain &lt;text&gt;"), (1, "http://a.example/x", page)]
