@@ -199,9 +199,8 @@ def main_text(html: str, noisy: frozenset[str]) -> str:
 def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``page_id, url, html``.
 
-    The pages of a host are merged into a style tree; branches of an importance below ``least``, in
-    the host's tree or in that of all hosts, are removed from each page, and so are elements that never hold an article or are
-    named as something else. A tree judges only the nodes it has on ``LEAST_PAGES`` pages or more.
+    The pages of a host are merged into a style tree; branches of an importance below ``least`` are removed from each page, and so are elements that never hold an article or are
+    named as something else. A tree judges only the nodes it has on ``LEAST_PAGES`` pages or more; of other nodes the tree of all hosts decides.
 
     Null or empty html gives an empty text; a url without host counts as the host with an empty name; ids may be null or repeat; other columns are not read.
     """
@@ -210,7 +209,7 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     nodes = written(narrow(importance(base)), "style-trees")
     pooled = nodes.filter(F.col("host") == ALL_HOSTS).select("path", F.col("composite").alias("pooled"))
     judged = nodes.filter(F.col("host") != ALL_HOSTS).join(pooled, "path", "left")
-    noise = written(narrow(judged.filter(F.least("composite", "pooled") < least).select("host", "path")), "noisy-branches")
+    noise = written(narrow(judged.filter(F.coalesce("composite", "pooled") < least).select("host", "path")), "noisy-branches")
     per_host = noise.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("noisy"))
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
 

@@ -319,6 +319,24 @@ def test_html_text(spark, sf):
     assert [r[2:] for r in got if r[0] == 4] == [("plain <text>", 12)] and html_text.extract(pages.limit(0)).count() == 0
 
 
+def page_rows(spark, rows):
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+
+
+def prose(rng, words=20):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(words))
+
+
+def test_a_host_is_judged_by_its_own_tree(spark):
+    rng = random.Random(2)
+    rows = [("http://large.example/", f"<body><div><p>The same words on all pages</div><article>{prose(rng)}</article>") for _ in range(60)]
+    rows += [("http://small.example/", f"<body><div><p>{prose(rng)}</div>") for _ in range(12)]
+    rows += [("http://few.example/", f"<body><div><p>The same words on all pages</div><article>{prose(rng)}</article>") for _ in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(page_rows(spark, rows)).collect()}
+    assert all(got[k] == html.split("<p>")[1].removesuffix("</div>") for k, (url, html) in enumerate(rows) if "small" in url)
+    assert all("same words" not in got[k] and got[k] for k, (url, _) in enumerate(rows) if "small" not in url)
+
+
 def test_style_tree_finds_unnamed_noise(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
