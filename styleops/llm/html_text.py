@@ -7,10 +7,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from styleops.llm.common import narrow, small_batches, written
@@ -130,11 +129,8 @@ def tree_of(html: str) -> Tree:
     return Tree().done(html)
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_column(url: str = "url") -> Column:
+    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
 
 
 def _digest(*parts: str) -> str:
@@ -142,14 +138,14 @@ def _digest(*parts: str) -> str:
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many pages of a batch show each feature of each node of their site's tree.
+    """How many different pages of a batch show each feature of each node of their site's tree.
 
     Kind ``s``: the sequence of a node's children; kind ``t``: a text of the node itself; kind ``p``: the page.
     """
     for rows in batches:
         counts: Counter = Counter()
-        for url, html in zip(rows["url"], rows["html"], strict=True):
-            tree, host, own = tree_of(html or ""), host_of(url), set()
+        for hosts, html in zip(rows["hosts"], rows["html"], strict=True):
+            tree, own = tree_of(html), set()
             for path, sequence in tree.finished:
                 own.add((path, "s", _digest(*sequence)))
                 own.add((path, "p", ""))
@@ -157,8 +153,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not noise:
                     own.add((path, "t", _digest(text)))
             for node, kind, key in own:
-                counts[host, node, kind, key] += 1
-                counts[ALL_HOSTS, node, kind, key] += 1
+                for host in (*hosts, ALL_HOSTS):
+                    counts[host, node, kind, key] += 1
         made = [(*k, n) for k, n in counts.items()]
         yield pd.DataFrame(made, columns=["host", "path", "kind", "feature", "pages"])
 
@@ -169,10 +165,14 @@ def importance(pages: DataFrame) -> DataFrame:
     Presentation: the entropy, to the base of the number of pages, of the child sequences a node
     has. Content: one minus the mean over its texts of log(pages with the text) to the same base; a text that is on
     every page counts 0, one that is on one page 1. They are joined with weights 1 - gamma^l and
-    gamma^l, l being the number of sequences; a branch is never less important than its texts. Only counts are shuffled, summed within batches first.
+    gamma^l, l being the number of sequences; a branch is never less important than its texts. A page
+    that stands in the table many times counts once for each host, and once for all hosts. Of its copies one is shuffled; else only counts are shuffled, summed within batches first.
     """
     small_batches(pages.sparkSession)
-    counted = pages.select("url", "html").mapInPandas(_features, "host string, path string, kind string, feature string, pages long")
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    different = pages.select(host_column().alias("host"), html.alias("html")).groupBy(F.sha2("html", 256))
+    once = different.agg(F.first("html").alias("html"), F.collect_set("host").alias("hosts")).select("hosts", "html")
+    counted = once.mapInPandas(_features, "host string, path string, kind string, feature string, pages long")
     counts = counted.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("n"))
     log_sum = F.sum(F.col("n") * F.log("n"))
     kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), log_sum.alias("logs"), F.count(F.lit(1)).alias("different"))
@@ -211,12 +211,10 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     judged = nodes.filter(F.col("host") != ALL_HOSTS).join(pooled, "path", "left")
     noise = written(narrow(judged.filter(F.coalesce("composite", "pooled") < least).select("host", "path")), "noisy-branches")
     per_host = noise.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("noisy"))
-    host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-
     @F.pandas_udf("string")
     def text(html: pd.Series, noisy: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, frozenset([] if n is None else n)) for h, n in zip(html, noisy, strict=True)])
 
     fits = noise.count() <= BROADCAST_PATHS
-    joined = base.withColumn("host", host).join(F.broadcast(per_host) if fits else per_host, "host", "left")
+    joined = base.withColumn("host", host_column()).join(F.broadcast(per_host) if fits else per_host, "host", "left")
     return joined.select("page_id", "url", text("html", "noisy").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -337,6 +337,14 @@ def test_a_host_is_judged_by_its_own_tree(spark):
     assert all("same words" not in got[k] and got[k] for k, (url, _) in enumerate(rows) if "small" not in url)
 
 
+def test_copies_of_pages_count_once(spark):
+    rng = random.Random(4)
+    html = [f"<body><div><p>Same everywhere</p></div><article><p>{prose(rng)}</p></article>" for _ in range(12)]
+    rows = [("http://s.example/", h) for h in html for _ in range(20)] + [(f"http://mirror{k}.example/", html[0]) for k in range(40)]
+    got = html_text.extract(page_rows(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r.text == rows[r.page_id][1].split("<p>")[2].split("</p>")[0] for r in got)
+
+
 def test_style_tree_finds_unnamed_noise(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
