@@ -36,6 +36,9 @@ BLOCK = frozenset(
 NEVER = frozenset(
     "head title script style noscript template nav header footer aside form button select textarea input iframe object svg canvas menu dialog".split()
 )
+#: Elements of the main text; their own names and those of elements around them say nothing about them.
+MAIN = frozenset({"article", "main"})
+WHOLE = MAIN | {"html", "body"}
 ENDS_PARAGRAPH = BLOCK - {"body", "html"}
 #: Words in a class, id or role that name what is no part of an article.
 NOISE_WORDS = frozenset(
@@ -50,7 +53,12 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, noise by its name
+        #: Tag, path, below an element of NEVER, numbers of the elements around it that are named as noise.
+        self.open: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]
+        self.named: list[int] = []  # characters of text below each of those
+        self.spared: set[int] = set()
+        self.inside: list[tuple[int, ...]] = []  # for each block
+        self.size = 0
         self.text: list[str] = []
         self.blocks: list[tuple[str, bool, str]] = []
         self.children: dict[str, list[list[str]]] = {}
@@ -59,8 +67,13 @@ class Tree(HTMLParser):
 
     def flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            _, path, noise = self.open[-1]
+            _, path, noise, named = self.open[-1]
             self.blocks.append((path, noise, text))
+            self.inside.append(named)
+            if not noise:
+                self.size += len(text)
+                for k in named:
+                    self.named[k] += len(text)
         self.text = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -77,13 +90,19 @@ class Tree(HTMLParser):
         named = [v for k, v in attrs if k in ("class", "id", "role") and v]
         words = {w.lower() for v in named for w in _SPLIT.split(v)}
         style = ".".join([tag, *sorted(re.sub(r"\d+", "", v) for k, v in attrs if k == "class" and v)])
-        _, path, noise = self.open[-1]
+        _, path, noise, named = self.open[-1]
         if tag in BLOCK or tag in NEVER:
             self.sequences[-1].append(style)
             self.sequences.append([])
-            self.open.append((tag, f"{path}/{style}", noise or tag in NEVER or bool(words & NOISE_WORDS)))
+            noise = noise or tag in NEVER
+            if tag in MAIN and not noise:
+                self.spared.update(named)
+            if tag not in WHOLE and words & NOISE_WORDS:
+                named = (*named, len(self.named))
+                self.named.append(0)
+            self.open.append((tag, f"{path}/{style}", noise, named))
         else:
-            self.open.append((tag, path, noise))
+            self.open.append((tag, path, noise, named))
 
     def _close_within(self, tag: str, stop: set[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -95,7 +114,7 @@ class Tree(HTMLParser):
                 return
 
     def _pop(self) -> None:
-        tag, path, _ = self.open[-1]
+        tag, path, _, _ = self.open[-1]
         if tag in BLOCK or tag in NEVER:
             self.flush()
         self.open.pop()
@@ -108,7 +127,7 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _, _ in self.open[1:]):
+        if any(t == tag for t, _, _, _ in self.open[1:]):
             while self.open[-1][0] != tag:
                 self._pop()
             self._pop()
@@ -122,6 +141,9 @@ class Tree(HTMLParser):
         while len(self.open) > 1:
             self._pop()
         self.flush()
+        self.spared.update(k for k, n in enumerate(self.named) if 2 * n > self.size)
+        cut = [any(k not in self.spared for k in named) for named in self.inside]
+        self.blocks = [(path, noise or named, text) for (path, noise, text), named in zip(self.blocks, cut, strict=True)]
         return self
 
 
@@ -200,7 +222,8 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``page_id, url, html``.
 
     The pages of a host are merged into a style tree; branches of an importance below ``least`` are removed from each page, and so are elements that never hold an article or are
-    named as something else. A tree judges only the nodes it has on ``LEAST_PAGES`` pages or more; of other nodes the tree of all hosts decides.
+    named as something else; names of html, body, main, article and of what holds one of the last two or more than half of the page's text
+    don't count. A tree judges only the nodes it has on ``LEAST_PAGES`` pages or more; of other nodes the tree of all hosts decides.
 
     Null or empty html gives an empty text; a url without host counts as the host with an empty name; ids may be null or repeat; other columns are not read.
     """

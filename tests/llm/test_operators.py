@@ -345,6 +345,17 @@ def test_copies_of_pages_count_once(spark):
     assert len(got) == len(rows) and all(r.text == rows[r.page_id][1].split("<p>")[2].split("</p>")[0] for r in got)
 
 
+def test_names_of_wrappers_remove_no_article():
+    text, noise = "The article's own words, more than the rest.", "<div class='share'>Share</div>"
+    for start, end in (
+        ("<body class='has-sidebar comments-open'><p>", "</p></body>"), ("<main class='with-sidebar'><p>", "</p></main>"),
+        ("<div id='page-header-wrap'><p>", "</p></div>"), ("<article class='post related-2'><p>", "</p></article>"),
+        ("<div class=widget><section class=social><article><p>", "</p></article></section></div><p>" + "Other words. " * 20),
+    ):
+        assert html_text.main_text(f"{start}{text}{noise}{end}", frozenset()).split("\n")[0] == text
+        assert "Share" not in html_text.main_text(f"{start}{text}{noise}{end}", frozenset())
+
+
 def test_style_tree_finds_unnamed_noise(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
