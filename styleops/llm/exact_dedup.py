@@ -67,6 +67,21 @@ def exact_groups(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger id has; all columns stay."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """One row of ``docs`` for each normalised text; all columns stay.
+
+    It is a row with the largest id of the text, or with a null id if the text has no other. Of several such rows the
+    smallest stays, by its text and then its other columns as JSON.
+    """
+    mine = F.col("doc_id").eqNullSafe(F.col("keep_id")).cast("long")
+    contents = exact_groups(docs).groupBy("text_sha256").agg(F.max("keep_id").alias("_keep_id"), F.sum(mine).alias("_rows"))
+    contents = written(narrow(contents.withColumnRenamed("text_sha256", "_content")), "contents")
+    keyed = docs.withColumn("_digest", F.sha2(ascii_lower(whole_text()), 256))
+
+    def candidates(rows):
+        kept = contents.filter(rows)
+        same = (keyed["_digest"] == kept["_content"]) & keyed["doc_id"].eqNullSafe(kept["_keep_id"])
+        return keyed.join(kept, same, "left_semi")
+
+    order = F.struct(whole_text(), F.to_json(F.struct(*docs.columns)))
+    several = candidates(F.col("_rows") > 1).groupBy("_digest").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return candidates(F.col("_rows") == 1).select(*docs.columns).unionByName(several.select("_row.*"))

@@ -55,6 +55,19 @@ def test_exact_groups_of_odd_rows(odd, none):
     assert {r.doc_id for r in exact_dedup.drop_exact_copies(odd).collect()} == {2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14}
 
 
+def test_one_row_of_each_text_stays(spark, none):
+    rows = [
+        (None, "no id", "b"), (None, "No id", "a"), (None, "alone", "c"), (None, "has id", "d"), (7, "has id", "e"),
+        (1, "loaded twice", "f"), (1, "loaded twice", "f"), (1, "LOADED twice", "g"), (0, "loaded twice", "h"),
+        (2, "kept", "i"), (2, "other", "j"), (3, "other", "k"), (None, None, "l"), (None, "", "m"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = sorted((tuple(r) for r in exact_dedup.drop_exact_copies(docs).collect()), key=str)
+    want = [(None, "No id", "a"), (None, "alone", "c"), (7, "has id", "e"), (1, "LOADED twice", "g"), (2, "kept", "i"), (3, "other", "k")]
+    assert [r for r in got if r[2] not in "lm"] == sorted(want, key=str) and len(got) == len(want) + 1
+    assert exact_dedup.drop_exact_copies(none).count() == 0 and exact_dedup.drop_exact_copies(docs).columns == docs.columns
+
+
 def test_exact_hot_text_is_split(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     out = exact_dedup.exact_groups(docs).filter("group_size > 1")
