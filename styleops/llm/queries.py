@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from styleops.llm import byte_bpe, embedding_dedup, exact_dedup, html_text, jaccard_join, packing, quality, sharding, substring_dedup, token_counts
+from styleops.llm import (
+    byte_bpe, embedding_dedup, exact_dedup, html_text, jaccard_join, license_scan, packing, periodic_runs, quality, sharding,
+    source_divergence, substring_dedup, token_counts,
+)
 from styleops.llm.common import UPPER, LOWER, table
 from styleops.session import scratch_path
 
@@ -62,11 +65,25 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.place(table(spark, sf, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = periodic_runs.with_planted_tails(table(spark, sf, "documents"))
+    return periodic_runs.summary(periodic_runs.periodic_runs(docs))
+
+
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_token_counts, op3_packing, op4_quality, op5_jaccard_join,
         op6_exact_dedup, op7_html_text, op8_embedding_dedup, op9_byte_bpe, op10_sharding,
+        op11_periodic_runs, op12_source_divergence, op13_license_scan,
     )
 }
 
@@ -109,4 +126,40 @@ SELECT slot, shard FROM turns JOIN shards ON k = (turn - 1) % {len(SHARDS)} WHER
 """
 
 
-ORACLE = {"op6_exact_dedup": EXACT_SQL, "op10_sharding": SHARD_SQL}
+def _share(count: str, total: str) -> str:
+    return f"1 + ({source_divergence.SCALE}::HUGEINT * ({count} + {source_divergence.PRIOR})) // ({total} + {source_divergence.PRIOR} * terms)"
+
+
+DIVERGENCE_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents
+), tf AS (
+  SELECT id, lang, source, term, count(*) AS n
+  FROM (SELECT id, lang, source, unnest(regexp_extract_all(norm, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n)::HUGEINT AS all_n FROM tf GROUP BY lang, term HAVING count(*) >= {source_divergence.LEAST_DOCS}
+), size AS (
+  SELECT lang, count(*)::HUGEINT AS terms, sum(all_n)::HUGEINT AS all_total FROM kept GROUP BY lang
+), cell AS (
+  SELECT lang, source, term, sum(n)::HUGEINT AS n FROM tf JOIN kept USING (lang, term) GROUP BY ALL
+), grp AS (
+  SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN cell USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, {_share("coalesce(n, 0)", "total")} AS p, {_share("all_n", "all_total")} AS q
+  FROM grp JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN cell USING (lang, source, term)
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= {source_divergence.TOP_TERMS}
+"""
+
+
+ORACLE = {"op6_exact_dedup": EXACT_SQL, "op10_sharding": SHARD_SQL, "op12_source_divergence": DIVERGENCE_SQL}
