@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from styleops.functions import text
-from styleops.operators.metrics.counts import ORDER, by_pair, max_refs, n_tokens, side_by_side
+from styleops.operators.metrics.counts import ORDER, by_pair, in_hypothesis, in_reference, metric_ngrams, n_tokens
 
 # Smoothing constants of the published scorer.
 SMALL = 1e-9
@@ -28,15 +28,21 @@ def reference_length(lengths: Column, testlen: Column, option: str) -> Column:
     raise ValueError(f"unknown reference length option {option!r}")
 
 
-def bleu_stats(pairs: DataFrame, option: str = "closest") -> DataFrame:
-    """``pair_id, testlen, reflen, guess_1..4, correct_1..4``."""
-    laid, n_refs = by_pair(pairs), max_refs(pairs)
-    best = F.greatest(F.lit(0), F.lit(0), *[F.col(f"r{r}") for r in range(n_refs)])
-    correct = [
-        F.sum(F.when(F.col("n") == n, F.least("h", best)).otherwise(0)).alias(f"correct_{n}")
-        for n in ORDERS
-    ]
-    matched = side_by_side(laid, n_refs).filter("h > 0").groupBy("pair_id").agg(*correct)
+def bleu_stats(pairs: DataFrame, option: str = "closest", grams: DataFrame | None = None) -> DataFrame:
+    """``pair_id, testlen, reflen, guess_1..4, correct_1..4``; ``grams`` is the pairs' gram table, if there is one.
+
+    An n-gram counts as often as in the hypothesis, and no more than in the reference that has it most; a pair
+    may have any number of references.
+    """
+    laid = by_pair(pairs)
+    grams = metric_ngrams(laid) if grams is None else grams
+    clipped = grams.groupBy("pair_id", "n", "gram").agg(
+        F.least(F.max(in_hypothesis(F.col("cnt"))), F.max(in_reference(F.col("cnt")))).alias("both"),
+        F.count(in_hypothesis(F.col("cnt"))).alias("h"),
+        F.count(in_reference(F.col("cnt"))).alias("r"),
+    )
+    correct = [F.sum(F.when(F.col("n") == n, F.col("both")).otherwise(0)).alias(f"correct_{n}") for n in ORDERS]
+    matched = clipped.filter("h > 0 AND r > 0").groupBy("pair_id").agg(*correct)
     lengths = laid.select(
         "pair_id",
         n_tokens(F.col("hyp")).alias("testlen"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from styleops.functions import text
 from styleops.operators import scale
 from styleops.operators.ngrams import explode_ngrams
+from styleops.session import checkpointed
 
 ORDER = 4
 HYP = -1
@@ -37,20 +38,17 @@ def metric_ngrams(pairs: DataFrame, high: int = ORDER) -> DataFrame:
     )
 
 
-def max_refs(pairs: DataFrame) -> int:
-    return pairs.agg(F.max(F.size("refs"))).first()[0] or 0
+def gram_table(pairs: DataFrame) -> DataFrame:
+    """``metric_ngrams`` written once, laid out by pair, for all the metrics that count n-grams."""
+    return checkpointed(metric_ngrams(by_pair(pairs)))
 
 
-def side_by_side(laid: DataFrame, n_refs: int, high: int = ORDER) -> DataFrame:
-    """``pair_id, n, gram, h, r0 .. r{n_refs-1}``: counts in the hypothesis and in each reference."""
-    toks = text.ws_tokens(F.col("txt"))
-    counts = [F.count_if(F.col("ref_no") == HYP).alias("h")]
-    counts += [F.count_if(F.col("ref_no") == r).alias(f"r{r}") for r in range(n_refs)]
-    return (
-        explode_ngrams(sides(laid), ["pair_id", "ref_no"], toks, 1, high)
-        .groupBy("pair_id", "n", "gram")
-        .agg(*counts)
-    )
+def in_hypothesis(value: Column) -> Column:
+    return F.when(F.col("ref_no") == HYP, value)
+
+
+def in_reference(value: Column) -> Column:
+    return F.when(F.col("ref_no") != HYP, value)
 
 
 def fold_case(pairs: DataFrame) -> DataFrame:

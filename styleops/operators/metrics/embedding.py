@@ -25,7 +25,7 @@ def mean_vector(vectors: DataFrame) -> list[float]:
     return [row["x"] for row in means.orderBy("d").collect()]
 
 
-def side_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+def side_vectors(pairs: DataFrame, vectors: DataFrame, grams: DataFrame | None = None) -> DataFrame:
     """``pair_id, ref_no, cnts, vecs``: distinct known words of a side, unknown ones as one entry.
 
     ``vectors`` is ``word, vec, cnt`` with ``cnt`` the word's frequency, so that frequent words are
@@ -33,7 +33,8 @@ def side_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """
     vectors = checkpointed(vectors)
     unknown = F.array(*[F.lit(float(x)) for x in mean_vector(vectors)])
-    words = metric_ngrams(by_pair(pairs), 1).select(
+    ones = metric_ngrams(by_pair(pairs), 1) if grams is None else grams.filter("n = 1")
+    words = ones.select(
         "pair_id", "ref_no", F.col("gram").alias("word"), F.col("cnt").alias("times")
     )
     known = scale.lookup_join(words, vectors.select("word", "vec", "cnt"), ["word"], "cnt", "left", WIDE_ROWS)
@@ -88,9 +89,9 @@ MEASURES = {
 }
 
 
-def embedding_scores(pairs: DataFrame, vectors: DataFrame, names=tuple(MEASURES)) -> DataFrame:
+def embedding_scores(pairs: DataFrame, vectors: DataFrame, names=tuple(MEASURES), grams: DataFrame | None = None) -> DataFrame:
     """``pair_id`` and one column per measure: the best value over the references."""
-    found = side_vectors(pairs, vectors)
+    found = side_vectors(pairs, vectors, grams)
     hyps = found.filter(F.col("ref_no") == HYP).select(
         "pair_id", F.col("cnts").alias("hc"), F.col("vecs").alias("hv")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,9 @@ from styleops.session import checkpointed
 # About a hundred megabytes of narrow rows (a phrase or word and a number or two).
 BROADCAST_ROWS = 1_000_000
 HEAVY_KEYS = 10_000
+#: Bits of a key filter for each key, and at most (four megabytes).
+FILTER_BITS_PER_KEY = 8
+FILTER_BITS = 1 << 25
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -103,3 +106,36 @@ def lookup_join(
     return rows.join(head, on, "inner").unionByName(
         rows.join(head.select(*on), on, "left_anti").join(tail, on, how)
     )
+
+
+def _places(keys: Sequence[Column], bits: int) -> list[Column]:
+    digest = F.xxhash64(*keys)
+    return [digest.bitwiseAND(bits - 1), F.shiftrightunsigned(digest, 32).bitwiseAND(bits - 1)]
+
+
+def key_filter(table: DataFrame, keys: Sequence[str], most_bits: int = FILTER_BITS) -> Callable[..., Column]:
+    """A function of key columns that is false for most keys that ``table`` has not, and never for one it has.
+
+    The filter is a field of bits, two for each key, of bounded size whatever the size of the table; it travels with the plan as a
+    constant, so rows are dropped where they are made, before any shuffle.
+    """
+    n = table.count()
+    bits = 64
+    while bits < min(FILTER_BITS_PER_KEY * n, most_bits):
+        bits *= 2
+    place = F.explode(F.array(*_places([F.col(k) for k in keys], bits)))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))
+    found = table.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), one.alias("bit"))
+    words = ["0"] * (bits // 64)
+    for row in found.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most ``bits / 64`` rows
+        words[row["word"]] = str(row["bits"])
+    field = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+
+    def may_have(*columns: Column) -> Column:
+        tests = []
+        for at in _places(columns, bits):
+            word = F.get(field, F.shiftright(at, 6).cast("int"))
+            tests.append(F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+        return tests[0] & tests[1]
+
+    return may_have

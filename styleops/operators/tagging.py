@@ -42,19 +42,25 @@ def phrase_candidates(corpus: DataFrame, max_n: int = MAX_N) -> DataFrame:
     )
 
 
-def phrase_hits(corpus: DataFrame, lexicon: DataFrame, seed: int = 0, max_n: int = MAX_N) -> DataFrame:
+def phrase_hits(
+    corpus: DataFrame, lexicon: DataFrame, seed: int = 0, max_n: int = MAX_N, broadcast_rows: int = scale.BROADCAST_ROWS
+) -> DataFrame:
     """``style, row_id, i, k``: widest phrase at each position that is in the lexicon and drawn.
 
-    A mined lexicon tells how often its phrases occur, so its frequent phrases can be broadcast
-    whatever its size. One without frequencies is broadcast if small; else it is copied ``SALTS``
+    A lexicon of at most ``broadcast_rows`` phrases is broadcast. For a larger one, a filter of its phrases drops nearly all candidates
+    that are no phrase where they are made, so about the hits are shuffled. A mined lexicon tells how often its phrases
+    occur, so its frequent phrases are broadcast whatever its size; one without frequencies is copied ``SALTS``
     times and the candidates of one phrase are dealt over the copies.
     """
     found = phrase_candidates(corpus, max_n)
     phrases = lexicon.withColumnsRenamed({"main_style": "style", "term": "phrase"})
     keys = ["style", "phrase"]
+    small = scale.bounded(phrases, broadcast_rows)
+    if not small:
+        found = found.filter(scale.key_filter(phrases, keys)(F.col("style"), F.col("phrase")))
     if "freq" in lexicon.columns:
-        joined = scale.lookup_join(found, phrases.select(*keys, "score", "freq"), keys, "freq")
-    elif scale.bounded(phrases):
+        joined = scale.lookup_join(found, phrases.select(*keys, "score", "freq"), keys, "freq", broadcast_rows=broadcast_rows)
+    elif small:
         joined = found.join(F.broadcast(phrases.select(*keys, "score")), keys)
     else:
         salt = F.pmod(F.xxhash64("row_id", "i"), F.lit(SALTS)).cast("int")

@@ -220,20 +220,104 @@ def bleu_13a(spark, sf):
     return rounded(B.bleu_13a(V.eval_pairs(spark, sf)), "bleu")
 
 
-@register("lcs_length")
+LIMB = (1 << 60) - 1
+
+
+def rouge_views(p: str, source: str) -> None:
+    """The longest common subsequence by rows of bits, 60 to a number.
+
+    A bit of the row is cleared where the best length grows at that reference place. For each hypothesis token, m being the bits of its
+    places in the reference, the row v becomes (v + (v & m)) | (v & ~m), with the carry handed on from number to number.
+    """
+    view(
+        f"v_sp{p}",
+        f"""SELECT pair_id, ref_no, string_split(hyp, ' ') AS h, string_split(ref, ' ') AS r FROM (
+          SELECT pair_id, hyp, generate_subscripts(refs, 1) - 1 AS ref_no, unnest(refs) AS ref FROM {source})""",
+    )
+    view(
+        f"v_places{p}",
+        f"""SELECT pair_id, ref_no, word, pos // 60 AS limb, sum(1::BIGINT << (pos % 60))::BIGINT AS bits
+        FROM (SELECT pair_id, ref_no, generate_subscripts(r, 1) - 1 AS pos, unnest(r) AS word FROM v_sp{p}) GROUP BY ALL""",
+    )
+    view(
+        f"v_bits{p}",
+        f"""SELECT w.pair_id, w.ref_no, w.word, list(coalesce(bits, 0) ORDER BY w.limb) AS m FROM (
+          SELECT pair_id, ref_no, word, unnest(range((len(r) + 59) // 60)) AS limb
+          FROM (SELECT DISTINCT pair_id, ref_no, word FROM v_places{p}) JOIN v_sp{p} USING (pair_id, ref_no)) w
+        LEFT JOIN v_places{p} b ON b.pair_id = w.pair_id AND b.ref_no = w.ref_no AND b.word = w.word AND b.limb = w.limb GROUP BY ALL""",
+    )
+    view(
+        f"v_steps{p}",
+        f"""SELECT pair_id, ref_no, list(m ORDER BY pos) AS steps
+        FROM (SELECT pair_id, ref_no, generate_subscripts(h, 1) AS pos, unnest(h) AS word FROM v_sp{p}) JOIN v_bits{p} USING (pair_id, ref_no, word)
+        GROUP BY ALL""",
+    )
+    add = "(s[1] + e[1] + e[2])"
+    carried = f"list_concat([{add} >> 60], s[2:], [({add} & {LIMB}) | (e[1] - e[2])])"
+    cells = "list_transform(range(1, len(v) + 1), lambda k: [v[k], v[k] & m[k]])"
+    row = f"list_reduce(list_prepend([0::BIGINT], {cells}), lambda s, e: {carried})[2:]"
+    view(
+        f"v_lcs{p}",
+        f"""SELECT pair_id, ref_no::INT AS ref_no, len(h)::INT AS hyp_len, len(r)::INT AS ref_len,
+          coalesce(list_sum(list_transform(list_reduce(list_prepend(list_transform(steps[1], lambda x: {LIMB}::BIGINT), steps), lambda v, m: {row}),
+            lambda x: 60 - bit_count(x))), 0)::BIGINT AS lcs
+        FROM v_sp{p} LEFT JOIN v_steps{p} USING (pair_id, ref_no)""",
+    )
+    view(
+        f"v_rouge{p}",
+        f"""SELECT pair_id, CASE WHEN p > 0 AND r > 0 THEN (1 + 1.44) * p * r / (r + 1.44 * p) ELSE 0 END AS ROUGE_L FROM (
+          SELECT pair_id, max(lcs / hyp_len) AS p, max(lcs / ref_len) AS r FROM v_lcs{p} GROUP BY pair_id)""",
+    )
+
+
+rouge_views("", "v_pairs")
+
+
+@register("lcs_length", "SELECT pair_id, ref_no, hyp_len, ref_len, lcs FROM v_lcs")
 def lcs_length(spark, sf):
     return RG.lcs_lengths(V.eval_pairs(spark, sf))
 
 
-@register("rouge_l")
+@register("rouge_l", "SELECT pair_id, round(ROUGE_L, 6) AS ROUGE_L FROM v_rouge")
 def rouge_l(spark, sf):
     return rounded(RG.rouge_l(V.eval_pairs(spark, sf)), "ROUGE_L")
 
 
-view(
-    "v_df",
-    "SELECT n, gram, count(DISTINCT pair_id) AS df FROM v_grams WHERE ref_no >= 0 GROUP BY ALL",
-)
+def cider_views(p: str, source: str, n_refs: int) -> None:
+    view(f"v_df{p}", f"SELECT n, gram, count(DISTINCT pair_id) AS df FROM v_grams{p} WHERE ref_no >= 0 GROUP BY ALL")
+    view(
+        f"v_w{p}",
+        f"""SELECT pair_id, ref_no, n, gram, cnt,
+          cnt * (ln((SELECT count(*) FROM {source})::DOUBLE) - ln(greatest(1, coalesce(df, 0))::DOUBLE)) AS w
+        FROM v_grams{p} LEFT JOIN v_df{p} USING (n, gram)""",
+    )
+    view(f"v_norm{p}", f"SELECT pair_id, ref_no, n, sqrt(sum(w * w)) AS norm, sum(cnt) AS len FROM v_w{p} GROUP BY ALL")
+    view(
+        f"v_dot{p}",
+        f"""SELECT h.pair_id, r.ref_no, h.n, sum(least(h.w, r.w) * r.w) AS dot FROM v_w{p} h
+        JOIN v_w{p} r ON h.pair_id = r.pair_id AND h.n = r.n AND h.gram = r.gram AND h.ref_no < 0 AND r.ref_no >= 0
+        GROUP BY ALL""",
+    )
+    view(
+        f"v_gap{p}",
+        f"""SELECT s.pair_id, s.ref_no, coalesce(h.len, 0) - coalesce(r.len, 0) AS gap
+        FROM (SELECT pair_id, ref_no FROM v_side{p} WHERE ref_no >= 0) s
+        LEFT JOIN v_norm{p} h ON h.pair_id = s.pair_id AND h.ref_no < 0 AND h.n = 2
+        LEFT JOIN v_norm{p} r ON r.pair_id = s.pair_id AND r.ref_no = s.ref_no AND r.n = 2""",
+    )
+    view(
+        f"v_cider{p}",
+        f"""SELECT g.pair_id, 10 * sum(coalesce(c.total, 0) * exp(-(gap * gap) / 72.0) / 4) / {n_refs} AS CIDEr FROM v_gap{p} g
+        LEFT JOIN (SELECT d.pair_id, d.ref_no, sum(CASE WHEN h.norm > 0 AND r.norm > 0
+                     THEN dot / (h.norm * r.norm) ELSE 0 END) AS total
+                   FROM v_dot{p} d JOIN v_norm{p} h ON h.pair_id = d.pair_id AND h.n = d.n AND h.ref_no < 0
+                   JOIN v_norm{p} r ON r.pair_id = d.pair_id AND r.n = d.n AND r.ref_no = d.ref_no
+                   GROUP BY ALL) c ON c.pair_id = g.pair_id AND c.ref_no = g.ref_no
+        GROUP BY g.pair_id""",
+    )
+
+
+cider_views("", "v_pairs", 2)
 
 
 @register("cider_df", "SELECT n, gram, df FROM v_df")
@@ -241,73 +325,45 @@ def cider_df(spark, sf):
     return CI.cider_df(V.eval_pairs(spark, sf))
 
 
-view(
-    "v_w",
-    """SELECT pair_id, ref_no, n, gram, cnt,
-      cnt * (ln((SELECT count(*) FROM v_pairs)::DOUBLE) - ln(greatest(1, coalesce(df, 0))::DOUBLE)) AS w
-    FROM v_grams LEFT JOIN v_df USING (n, gram)""",
-)
-view("v_norm", "SELECT pair_id, ref_no, n, sqrt(sum(w * w)) AS norm, sum(cnt) AS len FROM v_w GROUP BY ALL")
-view(
-    "v_dot",
-    """SELECT h.pair_id, r.ref_no, h.n, sum(least(h.w, r.w) * r.w) AS dot FROM v_w h
-    JOIN v_w r ON h.pair_id = r.pair_id AND h.n = r.n AND h.gram = r.gram AND h.ref_no < 0 AND r.ref_no >= 0
-    GROUP BY ALL""",
-)
-view(
-    "v_gap",
-    """SELECT s.pair_id, s.ref_no, coalesce(h.len, 0) - coalesce(r.len, 0) AS gap
-    FROM (SELECT pair_id, ref_no FROM v_side WHERE ref_no >= 0) s
-    LEFT JOIN v_norm h ON h.pair_id = s.pair_id AND h.ref_no < 0 AND h.n = 2
-    LEFT JOIN v_norm r ON r.pair_id = s.pair_id AND r.ref_no = s.ref_no AND r.n = 2""",
-)
-view(
-    "v_cider",
-    """SELECT g.pair_id, 10 * sum(coalesce(c.total, 0) * exp(-(gap * gap) / 72.0) / 4) / 2 AS CIDEr FROM v_gap g
-    LEFT JOIN (SELECT d.pair_id, d.ref_no, sum(CASE WHEN h.norm > 0 AND r.norm > 0
-                 THEN dot / (h.norm * r.norm) ELSE 0 END) AS total
-               FROM v_dot d JOIN v_norm h ON h.pair_id = d.pair_id AND h.n = d.n AND h.ref_no < 0
-               JOIN v_norm r ON r.pair_id = d.pair_id AND r.n = d.n AND r.ref_no = d.ref_no
-               GROUP BY ALL) c ON c.pair_id = g.pair_id AND c.ref_no = g.ref_no
-    GROUP BY g.pair_id""",
-)
-
-
 @register("cider", "SELECT pair_id, round(CIDEr, 6) AS CIDEr FROM v_cider")
 def cider(spark, sf):
     return rounded(CI.cider(V.eval_pairs(spark, sf)), "CIDEr")
 
 
-view(
-    "v_mwords",
-    f"""SELECT pair_id, ref_no, side, pos, word,
-      row_number() OVER (PARTITION BY pair_id, ref_no, side, word ORDER BY pos) AS o FROM (
-      SELECT pair_id, ref_no, 'h' AS side, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM (
-        SELECT pair_id, unnest([0, 1]) AS ref_no, {tokens("replace(replace(hyp, '|||', ''), '  ', ' ')")} AS t FROM v_pairs)
-      UNION ALL
-      SELECT pair_id, ref_no, 'r', generate_subscripts(t, 1), unnest(t) FROM v_side WHERE ref_no >= 0)""",
-)
-view(
-    "v_align",
-    """SELECT h.pair_id, h.ref_no, h.pos AS hp, r.pos AS rp FROM v_mwords h JOIN v_mwords r
-    ON h.pair_id = r.pair_id AND h.ref_no = r.ref_no AND h.word = r.word AND h.o = r.o
-    AND h.side = 'h' AND r.side = 'r'""",
-)
-view(
-    "v_chunks",
-    """SELECT pair_id, ref_no, count(*) AS m, sum(brk) AS ch FROM (
-      SELECT *, CASE WHEN hp = lag(hp) OVER w + 1 AND rp = lag(rp) OVER w + 1 THEN 0 ELSE 1 END AS brk
-      FROM v_align WINDOW w AS (PARTITION BY pair_id, ref_no ORDER BY hp)) GROUP BY ALL""",
-)
-view(
-    "v_meteor",
-    """SELECT pair_id, max(CASE WHEN m IS NULL THEN 0 ELSE p * r / (0.85 * p + (1 - 0.85) * r)
-      * (1 - CASE WHEN same THEN 0 ELSE 0.6 * pow(ch / m, 0.2) END) END) AS METEOR FROM (
-      SELECT s.pair_id, s.ref_no, m, ch, m / len(h.t) AS p, m / len(s.t) AS r, h.t = s.t AS same
-      FROM v_side s JOIN v_side h ON h.pair_id = s.pair_id AND h.ref_no < 0
-      LEFT JOIN v_chunks c ON c.pair_id = s.pair_id AND c.ref_no = s.ref_no WHERE s.ref_no >= 0)
-    GROUP BY pair_id""",
-)
+def meteor_views(p: str, source: str) -> None:
+    view(
+        f"v_mwords{p}",
+        f"""SELECT pair_id, ref_no, side, pos, word,
+          row_number() OVER (PARTITION BY pair_id, ref_no, side, word ORDER BY pos) AS o FROM (
+          SELECT pair_id, ref_no, 'h' AS side, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM (
+            SELECT pair_id, unnest(range(len(refs))) AS ref_no, {tokens("replace(replace(hyp, '|||', ''), '  ', ' ')")} AS t FROM {source})
+          UNION ALL
+          SELECT pair_id, ref_no, 'r', generate_subscripts(t, 1), unnest(t) FROM v_side{p} WHERE ref_no >= 0)""",
+    )
+    view(
+        f"v_align{p}",
+        f"""SELECT h.pair_id, h.ref_no, h.pos AS hp, r.pos AS rp FROM v_mwords{p} h JOIN v_mwords{p} r
+        ON h.pair_id = r.pair_id AND h.ref_no = r.ref_no AND h.word = r.word AND h.o = r.o
+        AND h.side = 'h' AND r.side = 'r'""",
+    )
+    view(
+        f"v_chunks{p}",
+        f"""SELECT pair_id, ref_no, count(*) AS m, sum(brk) AS ch FROM (
+          SELECT *, CASE WHEN hp = lag(hp) OVER w + 1 AND rp = lag(rp) OVER w + 1 THEN 0 ELSE 1 END AS brk
+          FROM v_align{p} WINDOW w AS (PARTITION BY pair_id, ref_no ORDER BY hp)) GROUP BY ALL""",
+    )
+    view(
+        f"v_meteor{p}",
+        f"""SELECT pair_id, max(CASE WHEN m IS NULL THEN 0 ELSE p * r / (0.85 * p + (1 - 0.85) * r)
+          * (1 - CASE WHEN same THEN 0 ELSE 0.6 * pow(ch / m, 0.2) END) END) AS METEOR FROM (
+          SELECT s.pair_id, s.ref_no, m, ch, m / len(h.t) AS p, m / len(s.t) AS r, h.t = s.t AS same
+          FROM v_side{p} s JOIN v_side{p} h ON h.pair_id = s.pair_id AND h.ref_no < 0
+          LEFT JOIN v_chunks{p} c ON c.pair_id = s.pair_id AND c.ref_no = s.ref_no WHERE s.ref_no >= 0)
+        GROUP BY pair_id""",
+    )
+
+
+meteor_views("", "v_pairs")
 
 
 @register("meteor_exact", "SELECT pair_id, round(METEOR, 6) AS METEOR FROM v_meteor")
@@ -396,27 +452,35 @@ for _name, (_measure, _source) in EMBED.items():
     _embedding(_name, _measure, _source)
 
 
-@register("compute_metrics")
+def overlap_rows(p: str) -> str:
+    rows = [f"SELECT 'Bleu_{n}' AS metric, {e} AS value FROM v_total{p}" for n, e in enumerate(bleu_sql("closest"), 1)]
+    for name, source in (("METEOR", "v_meteor"), ("ROUGE_L", "v_rouge"), ("CIDEr", "v_cider")):
+        rows.append(f"SELECT '{name}', avg({name}) FROM {source}{p}")
+    return " UNION ALL ".join(rows)
+
+
+OVERLAP_ROWS = overlap_rows("")
+EMBED_ROWS = " UNION ALL ".join(f"SELECT '{measure}', avg({measure}) FROM {source}" for measure, source in EMBED.values())
+METRIC_ROWS = f"SELECT * FROM ({OVERLAP_ROWS} UNION ALL {EMBED_ROWS}) WHERE metric NOT IN ('Bleu_3', 'Bleu_4', 'ROUGE_L')"
+
+
+@register("compute_metrics", f"SELECT metric, round(value, 6) AS value FROM ({OVERLAP_ROWS} UNION ALL {EMBED_ROWS})")
 def compute_metrics(spark, sf):
     return rounded(R.compute_metrics(V.eval_pairs(spark, sf), V.word_vectors(spark, sf)), "value")
 
 
-@register("compute_individual_metrics")
+@register(
+    "compute_individual_metrics",
+    f"""SELECT pair_id, {bleu_list('closest')}, round(METEOR, 6) AS METEOR, round(ROUGE_L, 6) AS ROUGE_L, 0.0::DOUBLE AS CIDEr,
+      {", ".join(f"round({measure}, 6) AS {measure}" for measure, _ in EMBED.values())}
+    FROM v_bstats JOIN v_meteor USING (pair_id) JOIN v_rouge USING (pair_id)
+      {" ".join(f"JOIN {source} USING (pair_id)" for _, source in EMBED.values())}""",
+)
 def compute_individual_metrics(spark, sf):
     scores = R.compute_individual_metrics(V.eval_pairs(spark, sf), V.word_vectors(spark, sf))
     return rounded(scores, *R.ALL)
 
 
-_B1, _B2 = bleu_sql("closest")[:2]
-METRIC_ROWS = f"""SELECT 'Bleu_1' AS metric, {_B1} AS value FROM v_total
-    UNION ALL SELECT 'Bleu_2', {_B2} FROM v_total
-    UNION ALL SELECT 'METEOR', avg(METEOR) FROM v_meteor
-    UNION ALL SELECT 'CIDEr', avg(CIDEr) FROM v_cider
-    UNION ALL SELECT 'EmbeddingAverageCosineSimilairty', avg(EmbeddingAverageCosineSimilairty) FROM v_avg
-    UNION ALL SELECT 'VectorExtremaCosineSimilarity', avg(VectorExtremaCosineSimilarity) FROM v_ext
-    UNION ALL SELECT 'GreedyMatchingScore', avg(GreedyMatchingScore) FROM v_greedy"""
-
-
 def _omitted(spark, sf):
     return R.compute_metrics(V.eval_pairs(spark, sf), V.word_vectors(spark, sf), omit=["Bleu_3", "ROUGE_L"])
 
@@ -434,6 +498,13 @@ def metrics_report(spark, sf):
     return R.metrics_report(_omitted(spark, sf))
 
 
-@register("context_scores")
+view("v_one_pairs", "SELECT pair_id, hyp, refs[1:1] AS refs FROM v_pairs")
+bleu_views("_one", "v_one_pairs")
+cider_views("_one", "v_one_pairs", 1)
+meteor_views("_one", "v_one_pairs")
+rouge_views("_one", "v_one_pairs")
+
+
+@register("context_scores", f"SELECT metric, round(value, 6) AS value FROM ({overlap_rows('_one')})")
 def context_scores(spark, sf):
     return rounded(R.context_scores(V.eval_pairs(spark, sf)), "value")

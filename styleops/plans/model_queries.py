@@ -163,9 +163,6 @@ def perplexity(spark, sf):
 
 # ---- batches
 
-SHARDS = 16
-
-
 @register(
     "length_buckets",
     """SELECT row_id, n, (row_number() OVER (PARTITION BY n ORDER BY row_id) - 1)
@@ -178,30 +175,28 @@ def length_buckets(spark, sf):
 
 view(
     "v_samples",
-    f"""SELECT floor({draw('pair_id', "'shard'", '0')} * {SHARDS})::INT AS shard, pair_id, a, b,
-      row_number() OVER (PARTITION BY floor({draw('pair_id', "'shard'", '0')} * {SHARDS})::INT ORDER BY pair_id) AS s
+    """SELECT pair_id, a, b, row_number() OVER (ORDER BY pair_id) AS s
     FROM (SELECT pair_id, len(t) AS a FROM v_srct) JOIN (SELECT pair_id, len(t) AS b FROM v_tgtt) USING (pair_id)""",
 )
 view(
-    "v_pack",
-    """SELECT shard, 0::BIGINT AS s, NULL::BIGINT AS pair_id, 0 AS bat, 0 AS size, 0::BIGINT AS ma, 0::BIGINT AS mb, 0 AS got
-    FROM (SELECT DISTINCT shard FROM v_samples)
-    UNION ALL
-    SELECT shard, s, pair_id,
-      CASE WHEN fits THEN bat WHEN size > 0 THEN bat + 1 ELSE bat END,
-      CASE WHEN fits THEN size + 1 WHEN alone THEN 1 ELSE 0 END,
-      CASE WHEN fits THEN greatest(ma, a) WHEN alone THEN a ELSE 0 END,
-      CASE WHEN fits THEN greatest(mb, b) WHEN alone THEN b ELSE 0 END,
-      CASE WHEN fits OR alone THEN 1 ELSE 0 END
-    FROM (SELECT p.shard, x.s, x.pair_id, x.a, x.b, p.bat, p.size, p.ma, p.mb,
-            p.size < 128 AND (greatest(p.ma, x.a) + greatest(p.mb, x.b)) * (p.size + 1) <= 8000 AS fits,
-            x.a + x.b <= 8000 AS alone
-          FROM v_pack p JOIN v_samples x ON x.shard = p.shard AND x.s = p.s + 1)""",
+    "v_fit",
+    """SELECT s, t, (max(a) OVER w + max(b) OVER w) * (t - s + 1) <= 8000 AS ok FROM (
+      SELECT x.s, y.s AS t, y.a, y.b FROM (SELECT s, unnest(range(128)) AS d FROM v_samples) x JOIN v_samples y ON y.s = x.s + x.d)
+    WINDOW w AS (PARTITION BY s ORDER BY t)""",
+)
+view(
+    "v_next",
+    """SELECT s, greatest(coalesce(min(t) FILTER (WHERE NOT ok), max(t) + 1), s + 1) AS e, bool_or(t = s AND ok) AS fits
+    FROM v_fit GROUP BY s""",
+)
+view(
+    "v_chain",
+    "SELECT 1::BIGINT AS s, 0::BIGINT AS bat UNION ALL SELECT n.e, c.bat + n.fits::INT FROM v_chain c JOIN v_next n ON n.s = c.s",
 )
 view(
     "v_packed",
-    """SELECT shard, CASE WHEN got = 1 THEN bat ELSE -1 END AS batch_no,
-      CASE WHEN got = 1 THEN size - 1 ELSE -1 END AS pos, pair_id FROM v_pack WHERE s > 0""",
+    """SELECT CASE WHEN fits THEN bat ELSE -1 END AS batch_no, (CASE WHEN fits THEN x.s - n.s ELSE -1 END)::INT AS pos, pair_id
+    FROM v_chain c JOIN v_next n ON n.s = c.s JOIN v_samples x ON x.s >= n.s AND x.s < n.e""",
 )
 
 
@@ -212,12 +207,12 @@ def _lengths(spark, sf):
 
 
 def _packed(spark, sf):
-    return V.once("packed", spark, sf, lambda: BA.pack_batches(_lengths(spark, sf), SHARDS))
+    return V.once("packed", spark, sf, lambda: BA.pack_batches(_lengths(spark, sf)))
 
 
-@register("pack_batches", "SELECT shard, batch_no, pos, pair_id FROM v_packed")
+@register("pack_batches", "SELECT batch_no, pos, pair_id FROM v_packed")
 def pack_batches(spark, sf):
-    return BA.pack_batches(_lengths(spark, sf), SHARDS)
+    return BA.pack_batches(_lengths(spark, sf))
 
 
 @register(
@@ -230,7 +225,7 @@ def shuffle_samples(spark, sf):
 
 view(
     "v_batch",
-    """SELECT shard, batch_no, pos, pair_id, len(t) AS length, max(len(t)) OVER (PARTITION BY shard, batch_no) AS longest,
+    """SELECT batch_no, pos, pair_id, len(t) AS length, max(len(t)) OVER (PARTITION BY batch_no) AS longest,
     ids FROM v_packed JOIN v_srct USING (pair_id)
     JOIN (SELECT pair_id, list(id ORDER BY i) AS ids FROM v_src GROUP BY pair_id) USING (pair_id) WHERE batch_no >= 0""",
 )
@@ -269,7 +264,7 @@ def pad_mask(spark, sf):
 @register(
     "drop_consecutive_duplicates",
     f"""SELECT pair_id, tgt_ids FROM (
-      SELECT pair_id, pos, tgt_ids, lag(tgt_ids) OVER (PARTITION BY shard, batch_no ORDER BY pos) AS before
+      SELECT pair_id, pos, tgt_ids, lag(tgt_ids) OVER (PARTITION BY batch_no ORDER BY pos) AS before
       FROM v_packed JOIN ({ids_sql("v_tgt", "tgt_ids")}) USING (pair_id) WHERE batch_no >= 0)
     WHERE before IS NULL OR tgt_ids <> before""",
 )
@@ -492,12 +487,12 @@ def nearest_words(spark, sf):
 
 # ---- subwords
 
-MERGES = 48
+SUBWORDS = 16_000
 
 
 def _merges(spark, sf):
     def make():
-        return BP.merges_frame(spark, BP.bpe_train(VO.word_freq(V.vocab_lines(spark, sf)), MERGES))
+        return BP.merges_frame(spark, BP.bpe_train(VO.word_freq(V.vocab_lines(spark, sf)), vocab_size=SUBWORDS))
 
     rows = V.once("merges", spark, sf, make).orderBy("rank").collect()
     return [(r["a"], r["b"]) for r in rows]
@@ -505,7 +500,7 @@ def _merges(spark, sf):
 
 @register("bpe_train")
 def bpe_train(spark, sf):
-    return BP.merges_frame(spark, BP.bpe_train(VO.word_freq(V.vocab_lines(spark, sf)), MERGES))
+    return BP.merges_frame(spark, BP.bpe_train(VO.word_freq(V.vocab_lines(spark, sf)), vocab_size=SUBWORDS))
 
 
 @register("bpe_encode")

@@ -47,3 +47,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name next to the session's checkpoints, reachable by all executors."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more, on whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,14 +1,18 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from styleops.operators.metrics import report
 from styleops.operators.metrics.bleu import bleu_stats, multi_bleu, reference_length
+from styleops.operators.metrics.cider import cider, cider_df
 from styleops.operators.metrics.rouge import common_length
 from styleops.plans import views as V
 
 SCHEMA = "pair_id long, hyp string, refs array<string>"
+# The sentences and scores of the published examples, here and in the tests of single pairs.
 CORPUS = [
     (
         0,
@@ -126,3 +130,53 @@ def test_same_result_with_one_partition(spark, sf):
         assert sorted(bleu_stats(pairs).collect()) == many
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def grams(txt, n):
+    words = txt.split()
+    return Counter(" ".join(words[k : k + n]) for k in range(len(words) - n + 1))
+
+
+def brute_cider(pairs):
+    """CIDEr from the definition, one pair and reference at a time."""
+    out = {}
+    for pair, hyp, refs in pairs:
+        total = 0.0
+        gap = sum(grams(hyp, 2).values())
+        for ref in refs:
+            cosines = 0.0
+            for n in range(1, 5):
+                def weigh(counts):
+                    df = {g: max(1, sum(any(g in grams(r, n) for r in rs) for _, _, rs in pairs)) for g in counts}
+                    return {g: c * (math.log(len(pairs)) - math.log(df[g])) for g, c in counts.items()}
+
+                h, r = weigh(grams(hyp, n)), weigh(grams(ref, n))
+                norms = math.sqrt(sum(w * w for w in h.values())) * math.sqrt(sum(w * w for w in r.values()))
+                if norms > 0:
+                    cosines += sum(min(h[g], w) * w for g, w in r.items() if g in h) / norms
+            total += cosines * math.exp(-((gap - sum(grams(ref, 2).values())) ** 2) / 72)
+        out[pair] = 10 * total / 4 / len(refs) if refs else 0.0
+    return out
+
+
+def test_any_number_of_references(spark):
+    """One pair has 500 references, others none, one and three."""
+    rng = random.Random(6)
+    sentence = lambda n: " ".join(rng.choices("abcdefgh", k=n))
+    pairs = [(0, sentence(12), [sentence(rng.randrange(15)) for _ in range(500)]), (1, sentence(7), [sentence(8)]), (2, "", [sentence(5)] * 3), (3, sentence(4), [])]
+    frame = spark.createDataFrame(pairs, SCHEMA)
+    stats = {r.pair_id: r for r in bleu_stats(frame).collect()}
+    for pair, hyp, refs in pairs:
+        for n in range(1, 5):
+            best = Counter()
+            for r in refs:
+                best |= grams(r, n)
+            assert stats[pair][f"correct_{n}"] == sum((grams(hyp, n) & best).values())
+    assert {r.pair_id: r.CIDEr for r in cider(frame).collect()} == pytest.approx(brute_cider(pairs))
+    want = {}
+    for n in range(1, 5):
+        for _, _, refs in pairs:
+            for g in {g for r in refs for g in grams(r, n)}:
+                want[n, g] = want.get((n, g), 0) + 1
+    assert {(r.n, r.gram): r.df for r in cider_df(frame).collect()} == want
+    assert len(bleu_stats(frame).columns) == 11
