@@ -40,6 +40,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(docs: DataFrame, *left_out: str) -> Column:
+    """The columns of ``docs`` as one struct with numbered fields, so that no name clashes."""
+    return F.struct(F.lit(True).alias("here"), *[column(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in left_out])
+
+
+def row_columns(docs: DataFrame, row: str, *left_out: str) -> list[Column]:
+    """The columns that ``as_row`` put into ``row``."""
+    return [F.col(f"{row}.c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in left_out]
+
+
+def content_digest() -> Column:
+    """The digest of a row's text, null as empty."""
+    return F.unhex(F.sha2(whole_text(), 256))
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -103,3 +123,17 @@ def blob(values, kind: str) -> bytes:
 
 def unblob(parts: Sequence[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype=kind)
+
+
+def steps_blob(values) -> bytes:
+    """64-bit numbers as the differences of neighbours, first all lowest bytes, then all second ones, and so on.
+
+    Numbers that rise slowly then are mostly zero bytes in a row, which the shuffle's compression takes away.
+    """
+    steps = np.diff(np.asarray(values, dtype="<i8"), prepend=np.int64(0))
+    return np.ascontiguousarray(steps.view("u1").reshape(-1, 8).T).tobytes()
+
+
+def steps_unblob(parts: Sequence[bytes]) -> np.ndarray:
+    made = [np.cumsum(np.ascontiguousarray(np.frombuffer(p, "u1").reshape(8, -1).T).view("<i8").ravel()) for p in parts]
+    return np.concatenate(made) if made else np.zeros(0, np.int64)

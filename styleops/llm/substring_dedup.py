@@ -6,11 +6,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from styleops.llm.common import blob, total_bytes, unblob, whole_text
+from styleops.llm.common import as_row, blob, row_columns, steps_blob, steps_unblob, total_bytes, unblob, whole_text
 
 #: A run of repeated units is removed if it has at least this many words.
 LEAST_WORDS = 25
@@ -33,6 +35,9 @@ WORDS = re.compile(f"[{_WIDE}]|[^ \t\n\r\x0b\x0c{_WIDE}]+")
 _PLAIN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Odd factors of the rolling digests; a fixed choice.
 _FACTORS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPANS_TYPE = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+_CUT = [StructField("text", StringType()), StructField("removed", _SPANS_TYPE)]
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -189,12 +194,12 @@ def _extract(buckets: int):
         if not len(keys):
             return empty
         bucket = (keys["low"] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((values[:, 1], bucket))  # places, and with them ranks, rise
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         cell, out = int(rows["cell"].iloc[0]), []
         for b in np.unique(bucket).tolist():
             part = order[cuts[b] : cuts[b + 1]]
-            out.append((b, cell, keys[part].tobytes(), blob(values[part, 0], "<i8"), blob(values[part, 1], "<i8"), blob(values[part, 2], "u1")))
+            out.append((b, cell, keys[part].tobytes(), steps_blob(values[part, 0]), steps_blob(values[part, 1]), blob(values[part, 2], "u1")))
         return pd.DataFrame(out, columns=empty.columns)
 
     return run
@@ -202,7 +207,7 @@ def _extract(buckets: int):
 
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     """For each cell of a bucket, its digests that occur more than once anywhere, with the earliest place."""
-    keys, ranks, places = unblob(rows["keys"], KEY), unblob(rows["ranks"], "<i8"), unblob(rows["places"], "<i8")
+    keys, ranks, places = unblob(rows["keys"], KEY), steps_unblob(rows["ranks"]), steps_unblob(rows["places"])
     several = unblob(rows["several"], "u1") > 0
     cells = np.repeat(rows["cell"].to_numpy(np.int64), [len(x) // KEY.itemsize for x in rows["keys"]])
     order = np.lexsort((places, cells, ranks, keys["low"], keys["high"]))
@@ -216,12 +221,12 @@ def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     of, lead = order[keep], first[group[keep]]
     if not len(of):
         return pd.DataFrame(columns=["cell", "keys", "cells", "places"])
-    by_cell = np.argsort(cells[of], kind="stable")
+    by_cell = np.lexsort((places[lead], cells[lead], cells[of]))
     of, lead = of[by_cell], lead[by_cell]
     names, starts = np.unique(cells[of], return_index=True)
     out = []
     for name, part, head in zip(names.tolist(), np.split(of, starts[1:]), np.split(lead, starts[1:]), strict=True):
-        out.append((name, keys[part].tobytes(), blob(cells[head], "<i8"), blob(places[head], "<i8")))
+        out.append((name, keys[part].tobytes(), steps_blob(cells[head]), steps_blob(places[head])))
     return pd.DataFrame(out, columns=["cell", "keys", "cells", "places"])
 
 
@@ -291,10 +296,12 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(least: int):
-    def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        rows = _ordered(rows)
+    def run(cell_rows: pa.Table, shared: pa.Table) -> pa.Table:
+        found = shared.to_pandas()
+        rows = cell_rows.select(["doc_id", "norm", "cell"]).to_pandas(integer_object_nulls=True)
+        rows = _ordered(rows.assign(at=np.arange(len(rows))))
         keys = unblob(found["keys"], KEY)
-        cells, places = unblob(found["cells"], "<i8"), unblob(found["places"], "<i8")
+        cells, places = steps_unblob(found["cells"]), steps_unblob(found["places"])
         cell = int(rows["cell"].iloc[0]) if len(rows) else 0
         norm = rows["norm"].tolist()
         later = _later(Windows(norm, anchors=False), keys, cells, places, cell) if len(keys) else {}
@@ -318,8 +325,8 @@ def _cut(least: int):
                 at = end
             texts.append("".join([*kept, text[at:]]))
             spans.append([{"start": a, "end": b} for a, b in cut])
-        out = rows[["doc_id", "rest"]].assign(text=texts, removed=spans)
-        return out.astype({"doc_id": "Int64"})
+        rest = cell_rows.column("rest").take(pa.array(rows["at"].to_numpy(np.int64)))
+        return pa.table({"rest": rest, "text": pa.array(texts, pa.string()), "removed": pa.array(spans, SPANS)})
 
     return run
 
@@ -344,13 +351,12 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     size = total_bytes(docs)
     cells = max(16, -(-size // CELL_BYTES))
     buckets = max(LEAST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length())
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "removed")]
-    rest = F.to_json(F.struct(*others)) if others else F.lit("{}")
+    left_out = ("text", "removed")
     norm = whole_text()
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         norm.alias("norm"),
-        rest.alias("rest"),
+        as_row(docs, *left_out).alias("rest"),
         F.pmod(F.xxhash64("doc_id", norm), F.lit(cells)).alias("cell"),
     )
     anchors = dealt.groupBy("cell").applyInPandas(_anchored(buckets), "bucket long, cell long, keys binary, several binary")
@@ -364,9 +370,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     cut = (
         dealt.groupBy("cell")
         .cogroup(repeats.groupBy("cell"))
-        .applyInPandas(_cut(least_words), "doc_id long, rest string, text string, removed array<struct<start:long,end:long>>")
+        .applyInArrow(_cut(least_words), StructType([dealt.schema["rest"], *_CUT]))
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others)
-    back = F.from_json("rest", schema) if others else None
-    columns = [back[c].alias(c) if c in others else F.col(c) for c in docs.columns if c != "removed"]
-    return cut.select(*columns, "removed")
+    others = iter(row_columns(docs, "rest", *left_out))
+    return cut.select(*[F.col("text") if c == "text" else next(others) for c in docs.columns if c != "removed"], "removed")

@@ -69,9 +69,21 @@ def test_one_row_of_each_text_stays(spark, none):
 
 
 def test_exact_hot_text_is_split(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     out = exact_dedup.exact_groups(docs).filter("group_size > 1")
-    assert [tuple(r) for r in out.groupBy("keep_id", "group_size").count().collect()] == [(2997, 1000, 1000)]
+    assert [tuple(r) for r in out.groupBy("keep_id", "group_size").count().collect()] == [(5997, 2000, 2000)]
+    assert exact_dedup.content_runs(docs).filter("head IS NOT NULL").count() == 2
+
+
+def test_neighbours_find_all_copies(spark, sf):
+    """Without a hot text every group is one run of the sort, so all copies are found by comparing neighbours."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    runs = exact_dedup.content_runs(docs).collect()
+    sizes = {}
+    for r in runs:
+        sizes[r.text_sha256] = sizes.get(r.text_sha256, 0) + 1
+    assert all(r.run_size == sizes[r.text_sha256] and r.head is None for r in runs)
+    assert sum(r.run_size > 1 for r in runs) > 20
 
 
 def test_lookup_table_equals_sql_and_is_even():
@@ -273,16 +285,44 @@ def test_substring_dedup(spark, odd, none):
     assert {r.cell for r in got.collect()} == {"z"} and substring_dedup.remove_repeats(none).count() == 0
 
 
+def single_pass(rows):
+    """The cuts of each text by both rules, from dictionaries of all units and all windows in reading order."""
+    words_of = lambda t: [(m.start(), m[0].lower()) for m in substring_dedup.WORDS.finditer(t)]
+    size, units, windows, out = substring_dedup.WINDOW, set(), {}, {}
+    for i, t in rows:
+        ends, counts, digests = substring_dedup.units(t)
+        again = []
+        for n, d in zip(counts, digests, strict=True):
+            again.append(n > 0 and d in units)
+            units |= {d} if n else set()
+        gone = [False] * len(t)
+        for a, b in substring_dedup.removed_spans(ends, counts, again, substring_dedup.LEAST_WORDS):
+            gone[a:b] = [True] * (b - a)
+        words = words_of(t)
+        places = [p for p, _ in words] + [len(t)]
+        for k in range(len(words) - size + 1):
+            key = tuple(w for _, w in words[k : k + size])
+            where = windows.setdefault(key, (i, k))
+            if where != (i, k):
+                first = max(k, where[1] + size) if where[0] == i else k
+                a, b = places[first], places[k + size]
+                gone[a:b] = [True] * (b - a)
+        out[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    return out
+
+
 def test_substring_dedup_equals_a_single_pass(spark, sf):
-    rows, seen = sorted(texts(spark, sf).items()), set()
+    rows = sorted(texts(spark, sf).items())
+    want = single_pass(rows)
     got = {r.doc_id: r for r in queries.op1_substring_dedup(spark, sf).collect()}
     for i, t in rows:
-        ends, words, digests = substring_dedup.units(t)
-        again = []
-        for n, d in zip(words, digests, strict=True):
-            again.append(n > 0 and d in seen)
-            seen |= {d} if n else set()
-        assert [(s.start, s.end) for s in got[i].removed] == substring_dedup.removed_spans(ends, words, again, substring_dedup.LEAST_WORDS)
+        kept, at = [], 0
+        for span in got[i].removed:
+            kept.append(t[at : span.start])
+            at = span.end
+        assert "".join([*kept, t[at:]]) == got[i].text == want[i]
+        assert got[i].n_removed == len(got[i].removed)
+    assert sum(bool(r.removed) for r in got.values()) > 5
 
 
 def test_substring_dedup_finds_passages_inside_sentences(spark):
