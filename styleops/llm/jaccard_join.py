@@ -12,14 +12,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.common import blob, blocks, narrow, partitions, regrouped, runs, small_batches, total_bytes, unblob, whole_text, written
+from styleops.llm.common import (
+    as_row, blob, blocks, content_digest, narrow, partitions, regrouped, row_columns, runs, small_batches, total_bytes, unblob, whole_text, written,
+)
 from styleops.llm.components import components
 
 WORDS = 5
 #: Text handed on at once, and all text for one bucket of shingles.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 BUCKET_BYTES = 32 << 20
 LEAST_BUCKETS = 64
+#: Words whose hashes one worker remembers; longer words are not remembered.
+MEMO_WORDS, MEMO_BYTES = 100_000, 48
 #: Sets joined in one trie; a larger candidate group is cut into blocks that are joined pairwise.
 BLOCK_SETS = 1000
 KEY = np.dtype([("high", "<u8"), ("low", "<u8")])
@@ -30,7 +34,7 @@ BLOBS = "bucket long, ids binary, keys binary, sizes binary, counts binary, gram
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         made = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000 and len(word) < 48:
+        if len(self) < MEMO_WORDS and len(word) < MEMO_BYTES:
             self[word] = made
         return made
 
@@ -43,7 +47,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     found = text.encode("utf-8", "replace").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    if len(_hashes) >= 400_000:
+    if len(_hashes) >= MEMO_WORDS:
         _hashes.clear()
     each = np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found))
     width = min(words, len(found))
@@ -56,7 +60,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def _sets(buckets: int, words: int):
-    """Rows of bucket -1: which row has which set. Others: the grams of each distinct set that fall into a bucket."""
+    """Rows of bucket -1: which row has which set, and the digest of its text. Others: the grams of each distinct set that fall into a bucket."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +78,7 @@ def _sets(buckets: int, words: int):
                     sets.append(grams)
             missing = rows["doc_id"].isna().to_numpy()
             ids = rows["doc_id"].fillna(0).astype("int64").to_numpy()
-            out = [(-1, blob(ids, "<i8"), b"".join(keys), blob(sizes, "<u4"), blob(missing, "<u4"), b"")]
+            out = [(-1, blob(ids, "<i8"), b"".join(keys), blob(sizes, "<u4"), blob(missing, "<u4"), b"".join(rows["content"]))]
             if sets:
                 owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                 grams = np.concatenate(sets)
@@ -321,39 +325,26 @@ def _laid_out(sets: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("mine", mine).select("component", "node", "size", "grams", F.explode(pairs).alias("p")).select("component", "node", "size", "grams", "p.*")
 
 
-def jaccard_groups(docs: DataFrame, words: int = WORDS, block: int = BLOCK_SETS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row: groups of texts linked by Jaccard 0.8 of their word n-grams.
-
-    1. Rows with equal n-gram sets are one set. The grams of each distinct set go to buckets by hash,
-       which find the grams that several sets have; a set of which less than four fifths is
-       shared can have no partner. Grams are ordered by the number of sets they are in, rarest first.
-    2. Sets that share a gram of their prefixes are candidates: each gram gives a star, not its pairs, and the
-       connected components of the stars are candidate groups.
-    3. Each group (or pair of blocks of a large one) is joined in a trie of its ordered sets; it
-       gives one edge for each linked set. Components of these edges are the result.
-
-    No link between different sets is lost and no pair is emitted. A text with fewer words than
-    ``words`` has one gram, its whole sequence; a null text, or one without words, has none and is alone:
-    its component is its own id. The smallest id of a group names it; null ids don't, so the component of rows
-    with null ids only is null. Rows that repeat an id are rows of their own. Other columns are not read.
-    """
+def _joined_sets(docs: DataFrame, words: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, content, node, n_shingles`` of every row, and ``node, least, component`` of every set: its smallest id and the name of its group."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = max(LEAST_BUCKETS, 1 << (total_bytes(docs) // BUCKET_BYTES).bit_length())
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("norm"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_digest().alias("content"), whole_text().alias("norm"))
     sent = base.mapInPandas(_sets(buckets, words), BLOBS)
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("keys"), F.lit(buckets)))
     shared = written(sent.withColumn("bucket", spread).groupBy("bucket").applyInPandas(_shared(buckets), BLOBS), "shared-grams")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            keys = b"".join(rows["keys"])
+            keys, contents = b"".join(rows["keys"]), b"".join(rows["grams"])
             ids = pd.array(unblob(rows["ids"], "<i8").copy(), dtype="Int64")
             ids[unblob(rows["counts"], "<u4") > 0] = pd.NA
             nodes = [keys[k : k + 16] for k in range(0, len(keys), 16)]
-            yield pd.DataFrame({"doc_id": ids, "node": nodes, "n_shingles": unblob(rows["sizes"], "<u4").astype("int64")})
+            digests = [contents[k : k + 32] for k in range(0, len(contents), 32)]
+            yield pd.DataFrame({"doc_id": ids, "content": digests, "node": nodes, "n_shingles": unblob(rows["sizes"], "<u4").astype("int64")})
 
-    members = written(narrow(shared.filter("bucket < 0").mapInPandas(unpack, "doc_id long, node binary, n_shingles long")), "members")
+    members = written(narrow(shared.filter("bucket < 0").mapInPandas(unpack, "doc_id long, content binary, node binary, n_shingles long")), "members")
     sets = written(shared.filter("bucket >= 0").groupBy("bucket").applyInPandas(_gather, "node binary, size long, grams binary"), "ordered-sets")
     heads = written(sets.mapInPandas(_prefixes, "gram long, node binary"), "prefix-grams")
     stars = heads.groupBy("gram").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "least")
@@ -365,7 +356,26 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, block: int = BLOCK_SETS)
     joined = components(links)
     per_set = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = per_set.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(narrow(named), "named-sets")
+    return members, written(narrow(named), "named-sets")
+
+
+def jaccard_groups(docs: DataFrame, words: int = WORDS, block: int = BLOCK_SETS) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row: groups of texts linked by Jaccard 0.8 of their word n-grams.
+
+    1. Rows with equal n-gram sets are one set. The grams of each distinct set go to buckets by hash,
+       which find the grams that several sets have; a set of which less than four fifths is
+       shared can have no partner. Grams are ordered by the number of sets they are in, rarest first.
+    2. Sets that share a gram of their prefixes are candidates: each gram gives a star, not its pairs, and the
+       connected components of the stars are candidate groups.
+    3. Each group (or pair of blocks of a large one) is joined in a trie of its ordered sets; it
+       gives one edge for each linked set. Components of these edges are the result.
+
+    No link between different sets is lost and no pair is emitted. A text with fewer words than
+    ``words`` has one gram, its whole sequence; a null text, or one without words, has none and is alone:
+    its component is its own id. The smallest id of a group names it; null ids don't, so the component of rows
+    with null ids only is null. Rows that repeat an id are rows of their own. Other columns are not read.
+    """
+    members, named = _joined_sets(docs, words, block)
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     own = written(narrow(named.join(smallest, "component").select("node", "component_id")), "components-of-sets")
     out = members.join(own, "node", "left")
@@ -374,9 +384,23 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, block: int = BLOCK_SETS)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest id of each group of near copies only; all columns stay.
+    """``docs`` with one row of each group of near copies; all columns stay.
 
-    Rows with a null id stay: no other row's id can name their group.
+    It is the row with the smallest id, null ids last; of equal ids the one with the smallest digest of its text, of equal texts
+    the one whose other columns come first as JSON. Texts without words are linked with nothing, so all their rows stay.
     """
-    kept = jaccard_groups(docs).filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    members, named = _joined_sets(docs, WORDS, BLOCK_SETS)
+    rows = members.groupBy("doc_id", "content", "node", "n_shingles").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content", "rows")
+    linked = rows.filter("n_shingles > 0").join(named.select("node", "component"), "node")
+    first = linked.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.content", "first.rows")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "content", F.lit(1).cast("long").alias("rows"))
+    kept = written(narrow(first.unionByName(alone)), "kept-rows")
+    keyed = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), content_digest().alias("digest"))
+
+    def candidates(rows):
+        same = (F.col("digest") == F.col("content")) & F.col("id").eqNullSafe(F.col("doc_id"))
+        return keyed.join(kept.filter(rows), same, "left_semi")
+
+    several = candidates("rows > 1").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return candidates("rows = 1").select("row").unionByName(several.select("row")).select(*row_columns(docs, "row"))
