@@ -6,61 +6,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from styleops.llm.common import ascii_lower, narrow, partitions, regrouped, whole_text, written
+from styleops.llm.common import as_row, ascii_lower, narrow, partitions, regrouped, row_columns, whole_text, written
 
 PREFIX = 24
-LEAST_BUCKETS = 64
+#: A content is split if it has more rows than this and than a quarter of an even partition; so few can be so hot.
+HOT_ROWS = 1000
+SHARE = 4
 
 
-def exact_groups(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
+def hot_contents(keyed: DataFrame, rows: int) -> DataFrame:
+    """``hash, splits`` of the contents with too many rows for one partition, at most ``SHARE`` for each partition."""
+    most = max(HOT_ROWS, rows // (SHARE * partitions(keyed.sparkSession)))
+    counts = keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") > most).select("hash", F.ceil(F.col("n") / most).cast("int").alias("splits"))
+
 
-    Normalised texts (A-Z lower-cased, null as empty) are range-partitioned by sampled splitters of
-    (first characters, hash, bucket) and sorted inside each partition, which places equal texts next
-    to each other; a text starts a new run where it differs, in full, from its neighbour. The bucket
-    of a row comes from its id, so the copies of one text are spread over many partitions; what a
-    run has found (its largest id, its size) is then combined over the buckets of its text. The
-    splitters are sampled from keys of bounded length, never from whole texts.
-
-    The largest ``doc_id`` of a group stays. Rows with a null id sort last; ``keep_id`` is null only
-    if all ids of the group are, and such rows are not kept, except that one text without any id has
-    no row to keep. Rows that repeat an id count in ``group_size`` and share its decision. Other
-    columns of ``docs`` are not read; an empty table gives an empty result.
+def content_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, run_keep, run_size, text_sha256, head`` of every row: the largest id and the size of its run of equal neighbours.
+
+    ``head`` is the text of the first row of a run whose content was split, else null.
     """
-    buckets = buckets or max(LEAST_BUCKETS, partitions(docs.sparkSession))
     keyed = docs.select("doc_id", ascii_lower(whole_text()).alias("norm")).select(
-        "doc_id",
-        "norm",
-        F.substring("norm", 1, PREFIX).alias("prefix"),
-        F.xxhash64("norm").alias("hash"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"),
+        "doc_id", "norm", F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("hash")
     )
-    placed = keyed.repartitionByRange("prefix", "hash", "bucket")
-    near = W.partitionBy("prefix", "hash", "bucket").orderBy("norm", F.desc_nulls_last("doc_id"))
+    hot = written(narrow(hot_contents(keyed, docs.count())), "hot-contents")
+    dealt = keyed.join(F.broadcast(hot), "hash", "left")
+    split = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("splits")), F.lit(0)).cast("int")
+    placed = dealt.withColumn("split", split).repartitionByRange("prefix", "hash", "split")
+    near = W.partitionBy("prefix", "hash", "split").orderBy("norm", F.desc_nulls_last("doc_id"))
     before = F.lag("norm").over(near)
-    first = F.when(before.isNull() | (before != F.col("norm")), F.struct("doc_id"))
-    runs = placed.withColumn("first", first).select(
-        "doc_id",
-        "bucket",
-        F.last("first", ignorenulls=True).over(near)["doc_id"].alias("run_keep"),
+    begins = before.isNull() | (before != F.col("norm"))
+    runs = placed.withColumn("begins", begins).select(
+        "prefix", "hash", "split", "doc_id",
+        F.sum(F.col("begins").cast("int")).over(near).alias("run"),
+        F.when(F.col("begins") & F.col("splits").isNotNull(), F.col("norm")).alias("head"),
         F.sha2("norm", 256).alias("text_sha256"),
-    )
-    rows = written(regrouped(runs), "content-runs")
-    per_bucket = rows.groupBy("text_sha256", "bucket").agg(
-        F.max("run_keep").alias("run_keep"), F.count(F.lit(1)).alias("run_size")
-    )
-    same = W.partitionBy("text_sha256")  # at most one row for each bucket
-    groups = per_bucket.select(
-        "text_sha256",
-        "bucket",
-        F.max("run_keep").over(same).alias("keep_id"),
-        F.sum("run_size").over(same).alias("group_size"),
-    )
-    found = rows.join(groups, ["text_sha256", "bucket"]).select(
+    )
+    same = W.partitionBy("prefix", "hash", "split", "run")
+    return runs.select("doc_id", F.max("doc_id").over(same).alias("run_keep"), F.count(F.lit(1)).over(same).alias("run_size"), "text_sha256", "head")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
+
+    Normalised texts (A-Z lower-cased, null as empty) are range-partitioned by sampled splitters of (first characters, hash) and sorted
+    inside each partition, which places equal texts next to each other; a text starts a new run where it differs, in full, from its
+    neighbour, and the run is the group. The splitters are sampled from keys of bounded length, never from whole texts. A
+    first count finds the few contents with too many rows for one partition; those are split by their ids as well, and the runs that this
+    gives are joined by comparing the full texts of their heads.
+
+    The largest ``doc_id`` of a group stays. ``keep_id`` is null only if all ids of the group are, and such rows are not kept, except
+    that one text without any id has no row to keep. Rows that repeat an id count in ``group_size`` and share its
+    decision. Other columns of ``docs`` are not read; an empty table gives an empty result.
+    """
+    rows = written(regrouped(content_runs(docs)), "content-runs")
+    heads = rows.filter(F.col("head").isNotNull()).groupBy("head").agg(F.max("run_keep").alias("all_keep"), F.sum("run_size").alias("all_size"))
+    heads = heads.select(F.sha2("head", 256).alias("text_sha256"), "all_keep", "all_size", F.lit(True).alias("hot"))
+    keep = F.when(F.col("hot"), F.col("all_keep")).otherwise(F.col("run_keep"))
+    found = rows.drop("head").join(F.broadcast(heads), "text_sha256", "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        keep.alias("keep_id"),
+        F.coalesce("all_size", "run_size").alias("group_size"),
+        F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"),
         "text_sha256",
     )
     return narrow(found)
@@ -73,15 +80,16 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     smallest stays, by its text and then its other columns as JSON.
     """
     mine = F.col("doc_id").eqNullSafe(F.col("keep_id")).cast("long")
-    contents = exact_groups(docs).groupBy("text_sha256").agg(F.max("keep_id").alias("_keep_id"), F.sum(mine).alias("_rows"))
-    contents = written(narrow(contents.withColumnRenamed("text_sha256", "_content")), "contents")
-    keyed = docs.withColumn("_digest", F.sha2(ascii_lower(whole_text()), 256))
+    contents = exact_groups(docs).groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.sum(mine).alias("rows"))
+    contents = written(narrow(contents), "contents")
+    text = whole_text()
+    keyed = docs.select(as_row(docs).alias("row"), F.col("doc_id").alias("id"), text.alias("whole"), F.sha2(ascii_lower(text), 256).alias("digest"))
 
     def candidates(rows):
-        kept = contents.filter(rows)
-        same = (keyed["_digest"] == kept["_content"]) & keyed["doc_id"].eqNullSafe(kept["_keep_id"])
-        return keyed.join(kept, same, "left_semi")
+        same = (F.col("digest") == F.col("text_sha256")) & F.col("id").eqNullSafe(F.col("keep_id"))
+        return keyed.join(contents.filter(rows), same, "left_semi")
 
-    order = F.struct(whole_text(), F.to_json(F.struct(*docs.columns)))
-    several = candidates(F.col("_rows") > 1).groupBy("_digest").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
-    return candidates(F.col("_rows") == 1).select(*docs.columns).unionByName(several.select("_row.*"))
+    order = F.struct("whole", F.to_json("row"))
+    several = candidates("rows > 1").groupBy("digest").agg(F.min_by("row", order).alias("row"))
+    kept = candidates("rows = 1").select("row").unionByName(several.select("row"))
+    return kept.select(*row_columns(docs, "row"))
