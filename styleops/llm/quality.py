@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from styleops.llm.common import narrow, small_batches, whole_text, written
+from styleops.llm.common import as_row, content_digest, narrow, row_columns, small_batches, whole_text, written
 
 #: The fit takes at most this many labelled rows, those with the smallest hash of the id.
 TRAINING_ROWS = 20_000
@@ -49,16 +49,17 @@ def statistics(text: str) -> tuple[float, ...]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the statistics of each whole text (null as empty), one row for each row."""
+    """``doc_id, content`` (the text's digest) and the statistics of each whole text (null as empty), one row for each row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             made = pd.DataFrame([statistics(t) for t in rows["norm"]], columns=STATISTICS)
-            yield pd.concat([rows[["doc_id"]].astype("Int64"), made], axis=1)
+            yield pd.concat([rows[["doc_id"]].astype("Int64"), rows[["content"]], made], axis=1)
 
     fields = ", ".join(f"{s} double" for s in STATISTICS)
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("norm")).mapInPandas(run, f"doc_id long, {fields}")
+    base = docs.select(F.col("doc_id").cast("long"), content_digest().alias("content"), whole_text().alias("norm"))
+    return base.mapInPandas(run, f"doc_id long, content binary, {fields}")
 
 
 @dataclass(frozen=True)
@@ -154,25 +155,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, content, score`` of every row."""
+    stats = written(with_statistics(docs), "statistics")
+    known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    # of rows that repeat an id, the one with the smallest digest is learnt from, whatever order they come in
+    labelled = stats.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("content", "label", *STATISTICS)).alias("row"))
+    model = fit(labelled.select("doc_id", "row.label", *[F.col(f"row.{c}") for c in STATISTICS]))
+    return stats.select("doc_id", "content", model.score().alias("score"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; 1 is good.
 
     Labels come from ``labels.quality`` (0 or 1; null labels and ids are left out, repeated ones count
-    once, an id with both labels with its larger one) of rows that are not held out. A score depends
-    on the text only.
+    once, an id with both labels with its larger one) of rows that are not held out; of rows that repeat an id the one with the
+    smallest digest of its text is learnt from. A score depends on the text only, a null text counts as empty; an empty table gives an empty
+    result; other columns are not read.
     """
-    stats = written(with_statistics(docs), "statistics")
-    known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    model = fit(stats.dropDuplicates(["doc_id"]).join(known, "doc_id"))
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")
+    return _scored(docs, labels).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is predicted good, with all their columns.
 
-    A row with a null id is judged with the other null ids: it stays if one of them is good.
+    Each row is judged by its own text, whatever its id: rows with null or repeated ids too.
     """
-    good = quality_scores(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_good_id"))
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_good_id"]), "left_semi")
+    good = _scored(docs, labels).filter("score >= 0.5").select(F.col("content").alias("good")).distinct()
+    rows = docs.select(as_row(docs).alias("row"), content_digest().alias("content"))
+    return rows.join(good, F.col("content") == F.col("good"), "left_semi").select(*row_columns(docs, "row"))

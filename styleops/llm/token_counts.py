@@ -22,7 +22,7 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
-def content_digest(text: Column) -> Column:
+def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
@@ -43,18 +43,20 @@ def count_tokens(docs: DataFrame, path: str, cache: str, context: int = CONTEXT)
     are appended. Texts are made distinct by digest before they are shuffled, so the copies of a
     hot text meet as one row for each task. Blanks at both ends are not content; null
     counts as empty (0 tokens). Every row of ``docs`` gives a row, repeated ids too; other columns are not
-    read. One writer at a time may append to a cache.
+    read. Writers that append at the same time may store a content twice, which changes no result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     version = tokenizer_version(path)
     spark.createDataFrame([], CACHE).write.mode("ignore").parquet(cache)
     norm = F.trim(whole_text())
-    stored = lambda: spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version)
-    texts = docs.select(content_digest(norm).alias("content"), norm.alias("norm")).dropDuplicates(["content"])
-    misses = texts.join(stored().select("content"), "content", "left_anti")
+    # rows of two writers at once may repeat a content; each counts once
+    kept = lambda: spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version)
+    stored = lambda: kept().groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    texts = docs.select(digest_of(norm).alias("content"), norm.alias("norm")).dropDuplicates(["content"])
+    misses = texts.join(kept().select("content"), "content", "left_anti")
     misses.mapInPandas(_counts(path, version), CACHE).write.mode("append").parquet(cache)
-    rows = docs.select("doc_id", content_digest(norm).alias("content"), F.octet_length(whole_text()).cast("long").alias("n_bytes"))
+    rows = docs.select("doc_id", digest_of(norm).alias("content"), F.octet_length(whole_text()).cast("long").alias("n_bytes"))
     return rows.join(stored(), "content", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > context).alias("over_limit")
     )
