@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from styleops.llm.common import narrow, small_batches, whole_text, written
+from styleops.llm.common import narrow, partitions, small_batches, whole_text, written
 
 #: A term is kept if so many documents of its language have it.
 LEAST_DOCS = 30
@@ -118,7 +118,9 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """
     texts = docs.select("lang", "digest", "norm").dropDuplicates(["lang", "digest"])
     collapsed = texts.join(groups_of(docs), ["lang", "digest"]).select("lang", "norm", "cells")
-    sums = collapsed.mapInArrow(_count, SUMS).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # workers have added up what they can; laid out by term once, both sums need no further shuffle
+    laid = collapsed.mapInArrow(_count, SUMS).repartition(partitions(docs.sparkSession), "lang", "term")
+    sums = laid.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("cells"))
     return kept.filter(F.col("docs") >= least_docs).select("lang", "term", "cells")
 
