@@ -35,6 +35,9 @@ HEADLINE = [
     "nearest_sentences",
     "bpe_encode",
     "stream_tag",
+    "stream_prepare",
+    "nearest_words",
+    "compute_metrics",
 ]
 
 

@@ -15,6 +15,8 @@ from styleops.session import checkpointed
 
 # A vector of 300 numbers takes about 2.5 kilobytes.
 WIDE_ROWS = 50_000
+#: Tokens of either side whose cosines are held at once.
+BLOCK = 1024
 
 
 def mean_vector(vectors: DataFrame) -> list[float]:
@@ -58,13 +60,27 @@ def extrema(m: np.ndarray) -> np.ndarray:
     return np.where(nearer | (least > 0), most, least)
 
 
-def greedy(hc: np.ndarray, h: np.ndarray, rc: np.ndarray, r: np.ndarray) -> float:
+def best_matches(r: np.ndarray, h: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``r`` and of ``h`` the highest cosine with a row of the other; maxima of blocks are combined,
+    so no more than ``block`` squared cosines are held at once."""
+
     def unit(m):
         norms = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
-    sims = unit(r) @ unit(h).T
-    return float((np.average(sims.max(axis=0), weights=hc) + np.average(sims.max(axis=1), weights=rc)) / 2)
+    r, h = unit(r), unit(h)
+    best_r, best_h = np.full(len(r), -np.inf), np.full(len(h), -np.inf)
+    for i in range(0, len(r), block):
+        for j in range(0, len(h), block):
+            sims = r[i : i + block] @ h[j : j + block].T
+            best_r[i : i + block] = np.maximum(best_r[i : i + block], sims.max(axis=1))
+            best_h[j : j + block] = np.maximum(best_h[j : j + block], sims.max(axis=0))
+    return best_r, best_h
+
+
+def greedy(hc: np.ndarray, h: np.ndarray, rc: np.ndarray, r: np.ndarray) -> float:
+    best_r, best_h = best_matches(r, h)
+    return float((np.average(best_h, weights=hc) + np.average(best_r, weights=rc)) / 2)
 
 
 def _scorer(measure):

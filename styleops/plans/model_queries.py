@@ -8,6 +8,7 @@ from styleops.functions import noise as NZ
 from styleops.functions import text
 from styleops.operators import batching as BA
 from styleops.operators import bpe as BP
+from styleops.operators import language_model as LM
 from styleops.operators import corpus as C
 from styleops.operators import nbest as NB
 from styleops.operators import parallel as P
@@ -161,6 +162,29 @@ def perplexity(spark, sf):
     return VO.perplexity(V.token_log_probs(spark, sf)).withColumn("perplexity", F.round("perplexity", 6))
 
 
+view("v_bigram", "SELECT split, id AS v, lead(id) OVER (PARTITION BY pair_id ORDER BY i) AS w FROM v_tgt JOIN v_tp USING (pair_id)")
+view("v_seen", "SELECT v, w, count(*) AS n FROM v_bigram WHERE split = 'train' AND w IS NOT NULL GROUP BY v, w")
+view("v_context", "SELECT v, sum(n) AS total, count(*) AS kinds FROM v_seen GROUP BY v")
+view(
+    "v_share",
+    f"""SELECT id AS w, {1 - LM.EVEN} * coalesce(contexts, 0) / (SELECT count(*) FROM v_seen) + {LM.EVEN} / (SELECT count(*) FROM v_vocab) AS share
+    FROM v_vocab LEFT JOIN (SELECT w AS id, count(*) AS contexts FROM v_seen GROUP BY w) USING (id)""",
+)
+
+
+@register(
+    "perplexity_bigram",
+    f"""SELECT split, count(*) AS tokens, round(exp(-avg(ln(CASE WHEN total IS NULL THEN share
+      ELSE greatest(coalesce(n, 0) - {LM.DISCOUNT}, 0) / total + {LM.DISCOUNT} * kinds / total * share END))), 6) AS perplexity
+    FROM v_bigram LEFT JOIN v_seen USING (v, w) LEFT JOIN v_context USING (v) JOIN v_share USING (w) WHERE w IS NOT NULL GROUP BY split""",
+)
+def perplexity_bigram(spark, sf):
+    """Targets of each split under a model of the training targets."""
+    targets = V.encoded(spark, sf).join(V.pairs(spark, sf).select("pair_id", "split"), "pair_id")
+    model = LM.BigramModel(targets.filter("split = 'train'"), "tgt_ids", V.vocab(spark, sf).count())
+    return model.perplexity(targets, "tgt_ids", ["split"]).withColumn("perplexity", F.round("perplexity", 6))
+
+
 # ---- batches
 
 @register(
@@ -516,6 +540,16 @@ def bpe_decode(spark, sf):
     return V.lines(spark, sf).select("row_id", BP.bpe_decode(encode("txt")).alias("txt"))
 
 
+@register("inference_segmented")
+def inference_segmented(spark, sf):
+    """Both steps of inference that need no model: originals cut into pieces for the tagger, tagged lines for the generator."""
+    encode = BP.encoder(_merges(spark, sf))
+    lines = C.filter_style(V.tagged(spark, sf), "q0")
+    opening = lines.select("row_id", F.lit("tagger").alias("step"), text.append_eos(encode(text.rstrip(F.col("orig")))).alias("txt"))
+    tagged = lines.select("row_id", F.lit("generator").alias("step"), F.col("tagged").alias("txt"))
+    return opening.unionByName(P.inference_prep(tagged, "q0", "q1", encode))
+
+
 # ---- files: written to a scratch folder, then read back
 
 

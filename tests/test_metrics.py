@@ -1,13 +1,16 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from styleops.operators.metrics import report
 from styleops.operators.metrics.bleu import bleu_stats, multi_bleu, reference_length
 from styleops.operators.metrics.cider import cider, cider_df
+from styleops.operators.metrics.embedding import best_matches
 from styleops.operators.metrics.rouge import common_length
 from styleops.plans import views as V
 
@@ -180,3 +183,19 @@ def test_any_number_of_references(spark):
                 want[n, g] = want.get((n, g), 0) + 1
     assert {(r.n, r.gram): r.df for r in cider_df(frame).collect()} == want
     assert len(bleu_stats(frame).columns) == 11
+
+
+def test_best_matches_by_blocks():
+    rng = np.random.default_rng(3)
+    r, h = rng.normal(size=(23, 5)), rng.normal(size=(17, 5))
+    r[4] = 0
+    norm = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    sims = norm(r) @ norm(h).T
+    for block in (1, 4, 17, 1024):
+        best_r, best_h = best_matches(r, h, block)
+        assert np.allclose(best_r, sims.max(axis=1)) and np.allclose(best_h, sims.max(axis=0))
+    many = rng.normal(size=(20_000, 4))
+    tracemalloc.start()
+    best_matches(many, many)
+    assert tracemalloc.get_traced_memory()[1] < 100e6  # the whole matrix has 3.2 GB
+    tracemalloc.stop()
