@@ -20,6 +20,9 @@ MEMO_CHARS = 48
 JOINED = 256
 ODD_SPACE = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+_ODD_BYTES = b"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_ODD_LEADS = [c.encode()[:2] for c in "\x85\xa0\u1680\u2000\u2028\u205f\u3000"]
+
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
@@ -64,6 +67,23 @@ class Memo:
         self.long = [c for c in new if len(c) > MEMO_CHARS]
         return self.kept
 
+    def values(self, batch: list[list]) -> list[list]:
+        """The values of the chunks of each list; most are known, so a list is looked up once and again only if one was not."""
+        for chunk in self.long:
+            del self.kept[chunk]
+        self.long = []
+        out = [list(map(self.kept.get, chunks)) for chunks in batch]
+        short = [k for k, found in enumerate(out) if None in found]
+        if short:
+            new = list({c for k in short for c, value in zip(batch[k], out[k], strict=True) if value is None})
+            if len(self.kept) + len(new) > self.limit:  # the frequent ones are in this batch too
+                self.kept = {c: self.kept[c] for c in set().union(*batch).intersection(self.kept)}
+            self.kept.update(zip(new, self.make(new), strict=True))
+            self.long = [c for c in new if len(c) > MEMO_CHARS]
+            for k in short:
+                out[k] = list(map(self.kept.__getitem__, batch[k]))
+        return out
+
 
 @lru_cache(maxsize=4)
 def count_memo(path: str) -> Memo:
@@ -84,8 +104,7 @@ def ids_memo(path: str) -> Memo:
 def count_words(path: str, texts: Sequence[str]) -> list[int]:
     """Token counts by a tokenizer that drops white space and never joins words over it."""
     batch = [t.encode("utf-8", "replace").split() for t in texts]
-    known = count_memo(path).of(batch)
-    return [sum(map(known.__getitem__, words)) for words in batch]
+    return list(map(sum, count_memo(path).values(batch)))
 
 
 def regular(text: str) -> bool:
@@ -98,10 +117,18 @@ def regular(text: str) -> bool:
         or "\n\n" in text
         or " \n" in text
         or "\n " in text
-        or ODD_SPACE.search(text)
+        or _odd(text)
     )
 
 
+def _odd(text: str) -> bool:
+    """Whether a text has other white space; the pattern is only asked where the bytes leave it open."""
+    data = text.encode("utf-8", "replace")
+    if len(data.translate(None, _ODD_BYTES)) < len(data):
+        return True
+    return len(data) > len(text) and any(lead in data for lead in _ODD_LEADS) and ODD_SPACE.search(text) is not None
+
+
 def chunk_keys(text: str) -> list[str]:
     """The chunks of a regular text, the blank before each left out; the first one is marked by a NUL."""
     return ("\0" + text.replace("\n", " \n")).split(" ")
@@ -125,7 +152,6 @@ def encode_texts(path: str, texts: Sequence[str]) -> list[bytes]:
         out[k] = np.asarray(tokenizer(path).encode(texts[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
     words = [texts[k].replace("\n", " \n").split(" ") for k in plain]
     heads = tokenizer(path).encode_batch([w[0] for w in words], add_special_tokens=False) if words else []
-    known = ids_memo(path).of([w[1:] for w in words])
-    for k, head, w in zip(plain, heads, words, strict=True):
-        out[k] = np.asarray(head.ids, dtype="<u4").tobytes() + b"".join(map(known.__getitem__, w[1:]))
+    for k, head, ids in zip(plain, heads, ids_memo(path).values([w[1:] for w in words]), strict=True):
+        out[k] = np.asarray(head.ids, dtype="<u4").tobytes() + b"".join(ids)
     return out
