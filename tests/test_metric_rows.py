@@ -70,3 +70,25 @@ def test_cider_with_few_frequencies_at_hand(pairs):
     want = exact(cider(pairs))
     assert len(want) == len(ROWS) and any(r[1] > 0 for r in want)
     assert all(exact(cider(pairs, n)) == want for n in (0, 3))
+
+
+def test_cider_joins_no_grams(pairs):
+    plan = plan_of(cider(pairs))
+    assert "Join" not in plan and not re.search(r"\bgram#", plan)
+
+
+def test_questions_and_answers_of_blocks():
+    """Numbers come back as they were packed, and blocks that share n-grams get their common frequencies."""
+    import numpy as np
+    import pyarrow as pa
+
+    from styleops.operators.metrics import cider as CI
+
+    numbers = np.array([0, 1, 255, 2**40, 2**64 - 1], np.uint64)
+    assert CI._unpacked(CI._packed(numbers), np.uint64).tolist() == numbers.tolist() and len(CI._unpacked(b"", np.uint32)) == 0
+    grams = [np.array(x, np.uint64) for x in ([3, 7, 2**63], [7, 9])]
+    rows = [(0, block, CI._packed(np.diff(g, prepend=np.uint64(0))), CI._packed(np.arange(1, len(g) + 1, dtype=np.uint32))) for block, g in enumerate(grams)]
+    got = CI._answers(pa.table(dict(zip(("part", "block", "grams", "df"), map(list, zip(*rows))))))
+    assert [CI._unpacked(x, np.uint32).tolist() for x in got.column("df").to_pylist()] == [[1, 3, 3], [3, 2]]
+    cuts = CI._cuts(np.array([5, 2**62, 2**63, 2**64 - 1], np.uint64), 4)
+    assert cuts.tolist() == [0, 1, 2, 3, 4]
