@@ -61,3 +61,10 @@ def test_held_phrases_make_no_candidates(spark, corpus, monkeypatch):
     monkeypatch.setattr(tagging, "phrase_candidates", none)
     lex = spark.createDataFrame([("q1", "red fish", 1.0)], "main_style string, term string, score double")
     assert tagging.phrase_hits(corpus, lex).count() > 0
+
+
+def test_styles_of_a_term_meet_without_a_further_shuffle(spark):
+    rows = [(k, f"one two word{k % 7} word{k % 5}", f"q{k % 2}", "train") for k in range(40)]
+    stats = lexicon.style_stats(spark.createDataFrame(rows, "row_id long, txt string, style string, split string"))
+    plan = lexicon.class_report(stats, ("q1", "q0"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(term") == 1 and "hashpartitioning(style" not in plan
