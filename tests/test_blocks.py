@@ -34,12 +34,13 @@ def test_report_of_shared_terms(spark, corpus, rows, monkeypatch):
 
 @pytest.mark.parametrize("options", [{}, {"concat": False, "pos_weight": 2, "max_pos": 1}])
 def test_tags_inside_rows(spark, corpus, options, monkeypatch):
-    phrases = [("q1", "red fish", 0.7), ("q1", "fish", 0.4), ("q0", "b2 a1 b2", 0.9), ("q0", "sky", 0.5), ("q0", "a1", 0.8), ("q1", "swims the", 1.0)]
+    phrases = [("q1", "red fish", 0.7), ("q1", "fish", 0.4), ("q0", "b2 a1 b2", 0.9), ("q0", "sky", 0.5), ("q0", "a1", 0.8), ("q1", "swims the", 1.0), ("q1", "sky", float("nan")), ("q1", "sky", 0.1), ("q1", "the", None), ("q0", "red  fish", 1.0), (None, "fish", 1.0), ("q0", "a1 b2 a1 b2 blue", 1.0)]
     lex = spark.createDataFrame(phrases, "main_style string, term string, score double")
     held = tagging.tag_by_join(corpus, lex, 3, **options)
     plan = held._jdf.queryExecution().executedPlan().toString()
     held = sorted(map(str, held.collect()))
     monkeypatch.setattr(tagging, "HELD_PHRASES", 0)
+    monkeypatch.setattr(tagging, "PACKED_PHRASES", 0)
     assert held == sorted(map(str, tagging.tag_by_join(corpus, lex, 3, **options).collect()))
     assert sum("[q" in r for r in held) > 20 and plan.count("Exchange") == 1
 
@@ -73,3 +74,10 @@ def test_different_keys_are_not_shuffled(spark):
     pairs = spark.createDataFrame([(k, "a b", "a c") for k in range(20)], "pair_id long, src string, tgt string")
     vocab = VO.build_vocab(pairs.select("pair_id", F.col("src").alias("txt")), ["pair_id"])
     assert "Exchange" not in VO.encode_pairs(pairs, vocab)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_found_digests_are_compared():
+    phrases = tagging.PackedPhrases(["a b", "c"], [0.5, 1.0])
+    assert phrases.found([["a", "b", "c"], [], ["c"]]) == [[(0, 2, 0.5), (2, 1, 1.0)], [], [(0, 1, 1.0)]]
+    phrases.texts = tagging.pa.array(["x", "y"])  # as if digests of other words met
+    assert phrases.found([["a", "b", "c"]]) == [[]]
